@@ -153,9 +153,11 @@ def _counts(docs: DataFrame, is_target, bits: int, slots_of) -> np.ndarray:
         parts = -(-parts // FAN_IN)
         if parts <= 1:
             break
-    total = np.zeros((2, 1 << bits), np.int64)
-    for r in level.collect():  # a row for each slice
-        add(total[:, r["slice"] * size : (r["slice"] + 1) * size], r["counts"])
+    total = np.zeros((2, 1 << bits), np.float32)
+    for r in level.toLocalIterator():  # a row for each slice
+        dense = np.zeros((2, size), np.int64)
+        add(dense, r["counts"])
+        total[:, r["slice"] * size : (r["slice"] + 1) * size] = dense
     return total
 
 
@@ -184,7 +186,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     words = np.hstack([np.where(known, single, 0), single[:, ~known].sum(1, keepdims=True)]).astype(np.float64)
     known_shared = spark.sparkContext.broadcast(known)
     pairs = _counts(marked, is_target, PAIR_BITS, lambda text: _pairs(_slots(text, known_shared.value).astype(np.uint64)))
-    shared = spark.sparkContext.broadcast((known, words.astype(np.float32), words.sum(1), pairs.astype(np.float32)))
+    shared = spark.sparkContext.broadcast((known, words.astype(np.float32), words.sum(1), pairs))
+    del pairs
     names = ["doc_id", "n_words", "target_loss", "background_loss", "score", "is_target"]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
