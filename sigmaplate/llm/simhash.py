@@ -223,6 +223,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
     named = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # As a table of its own it leaves both sides' exchanges to the join, which splits a fingerprint with very many rows.
+    named = materialize(named, "components")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
