@@ -152,7 +152,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> lis
     place = F.xxhash64("doc_id", F.lit("toxicity")).bitwiseAND(span - 1)
     limit = F.when(F.col("toxic") == 1, min(span, int(span * 1.2 * per_class / counts[1]) + 1)).otherwise(min(span, int(span * 1.2 * per_class / counts[0]) + 1))
     chosen = marks.withColumn("place", place).where(F.col("place") < limit)
-    picked = docs.select("doc_id", "text").join(chosen, "doc_id")
+    picked = sorted(chosen.collect(), key=lambda r: (r["toxic"], r["place"], r["doc_id"]))
+    picked = [r for y in (0, 1) for r in [r for r in picked if r["toxic"] == y][: per_class + per_class // 5]]
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], r["place"]) for r in picked], "doc_id long, toxic int, place long")
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2.4 * per_class rows
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("toxic", pa.int64()), ("found", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
