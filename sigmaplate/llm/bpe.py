@@ -59,10 +59,10 @@ class _Words(dict):
 class ByteBpe:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    cache: entries that each of the two caches of a process may hold before it starts afresh.
+    cache: pieces that a process may hold before it starts afresh, and half as many words.
     """
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -98,7 +98,7 @@ class ByteBpe:
             return self.library(text)
         if len(self.pieces) > self.cache:
             self.pieces.clear()
-        if len(self.words) > self.cache:
+        if len(self.words) > self.cache // 2:
             self.words.clear()
         first, *rest = text.split(" ")
         if not rest:

@@ -55,7 +55,7 @@ def _shards(tokenizer: str, end_id: int, shard_tokens: int) -> Callable[[Iterato
     return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = 4_000_000) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = 1_000_000) -> None:
     """Write the ids of all documents as shards in ascending doc_id order (nulls first).
 
     docs: columns doc_id and text; others are ignored.  Null text is empty; every document gets
