@@ -17,6 +17,8 @@ import struct
 _SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]*)(?:\n([^\W\d_]+)([.,;:!?]*))?")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _SEPARATOR = re.compile(r"[\x1c-\x1f]")
+#: Entries of about 150 bytes each; more save time where texts hold many different words.
+CACHE = 600_000
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -59,10 +61,10 @@ class _Words(dict):
 class ByteBpe:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    cache: pieces that a process may hold before it starts afresh, and half as many words.
+    cache: pieces that a process may hold before it starts afresh, and as many words, or word_cache.
     """
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = CACHE, word_cache: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -70,7 +72,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = cache
+        self.cache, self.word_cache = cache, cache if word_cache is None else word_cache
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
         self.splits &= not getattr(self.tokenizer.pre_tokenizer, "add_prefix_space", True)
@@ -98,7 +100,7 @@ class ByteBpe:
             return self.library(text)
         if len(self.pieces) > self.cache:
             self.pieces.clear()
-        if len(self.words) > self.cache // 2:
+        if len(self.words) > self.word_cache:
             self.words.clear()
         first, *rest = text.split(" ")
         if not rest:
@@ -114,11 +116,12 @@ class ByteBpe:
         return b"".join(self.pieces[c[1:]] or self.library(c) if c[0] == " " and c[1:] else self.alone("", c) for c in _CHUNK.findall(text))
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[tuple, ByteBpe] = {}
 
 
-def encoder(path: str) -> ByteBpe:
+def encoder(path: str, cache: int = CACHE, word_cache: int | None = None) -> ByteBpe:
     """The process's own encoder of a file; Python workers live on over many tasks."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+    key = (path, cache, word_cache)
+    if key not in _loaded:
+        _loaded[key] = ByteBpe(*key)
+    return _loaded[key]
