@@ -32,9 +32,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode into shards and return what they hold: doc_id, start, n_tokens, ids_crc32.
 
-    The caches are smaller than alone, as workers keep what the earlier stages left in them.
+    The cache is smaller than alone, as workers keep what the earlier stages left in them.
     """
-    return token_output.encode_and_read(docs, tokenizer_path(), caches=(400_000, 200_000))
+    return token_output.encode_and_read(docs, tokenizer_path(), cache=400_000)
 
 
 STAGES = [

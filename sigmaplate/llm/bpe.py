@@ -6,19 +6,29 @@ them only.  None of those alternatives matches white space behind other characte
 where a space follows a character that isn't white space always ends a pre-token, whatever stands
 around it.  Pieces between such places can therefore be encoded alone and their ids joined.  That
 holds for every text; a text with one of the tokenizer's special strings goes to the library whole.
+
+Pieces seen before come from a cache.  A new one that is a word of letters and ASCII marks behind it is
+two pre-tokens, which the library's BPE model encodes; others go through the library's whole encoder.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
-_SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]*)(?:\n([^\W\d_]+)([.,;:!?]*))?")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: Entries of about 150 bytes each; more save time where texts hold many different words.
 CACHE = 600_000
+#: Characters of the texts that are worked on at once.
+AT_ONCE = 1_000_000
+
+
+#: Neither letters, digits nor white space; an apostrophe can start a pre-token with letters.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -33,38 +43,13 @@ def byte_alphabet() -> dict[int, str]:
     return table | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of a space and the key; None if a break behind it is unproven."""
-
-    def __init__(self, owner: ByteBpe) -> None:
-        self.owner = owner
-
-    def __missing__(self, piece: str) -> bytes | None:
-        value = None if not piece or piece[-1].isspace() else self.owner.alone(" ", piece)
-        self[piece] = value
-        return value
-
-
-class _Words(dict):
-    """Ids of a string that is one pre-token, by the library's own BPE model."""
-
-    def __init__(self, model: object) -> None:
-        self.model, self.table = model, byte_alphabet()
-
-    def __missing__(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.table)
-        value = _pack([t.id for t in self.model.tokenize(mapped)])
-        self[word] = value
-        return value
-
-
 class ByteBpe:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    cache: pieces that a process may hold before it starts afresh, and as many words, or word_cache.
+    cache: pieces that a process may hold before it starts afresh.
     """
 
-    def __init__(self, path: str, cache: int = CACHE, word_cache: int | None = None) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -72,56 +57,131 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache, self.word_cache = cache, cache if word_cache is None else word_cache
+        self.cache = cache
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
         self.splits &= not getattr(self.tokenizer.pre_tokenizer, "add_prefix_space", True)
-        self.pieces, self.words = _Pieces(self), _Words(self.tokenizer.model)
-
-    def library(self, text: str) -> bytes:
-        return _pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-
-    def alone(self, lead: str, piece: str) -> bytes:
-        """Ids of lead + piece, where both ends are proven breaks."""
-        if (m := _SIMPLE.fullmatch(piece)) and (m[3] is None or m[3].isalpha()) and m[1].isalpha():
-            ids = self.words[lead + m[1]]
-            ids += self.words[m[2]] if m[2] else b""
-            if m[3]:
-                ids += self.words["\n"] + self.words[m[3]]
-                ids += self.words[m[4]] if m[4] else b""
-            return ids
-        return self.library(lead + piece)
-
-    def ids(self, text: str) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.splits or any(s in text for s in self.specials):
-            return self.library(text)
+        self.alphabet = byte_alphabet()
+        self.space = self.alphabet[ord(" ")]
+        self.tokenize = self.tokenizer.model.tokenize
+        #: Ids, as little-endian unsigned 32-bit bytes, of a space and the key, of which the end is a proven break.
+        self.pieces: dict[str, bytes] = {}
+        #: The same of pre-tokens without a space.
+        self.bare: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [_pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return _pack([t.id for t in self.tokenize(self.space + mapped)])
+
+    def _bare(self, word: str) -> bytes:
+        if (ids := self.bare.get(word)) is None:
+            mapped = word.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.bare[word] = _pack([t.id for t in self.tokenize(mapped)])
+        return ids
+
+    def _learn(self, new: Iterable[str]) -> None:
+        """Put pieces into the cache."""
+        rest = []
+        for piece in new:
+            if piece.isalpha():
+                self.pieces[piece] = self._spaced(piece)
+            elif (word := piece.rstrip(MARKS)).isalpha():
+                self.pieces[piece] = self._spaced(word) + self._bare(piece[len(word) :])
+            elif (ids := self._two_lines(piece)) is not None:
+                self.pieces[piece] = ids
+            else:
+                rest.append(piece)
+        for lo in range(0, len(rest), 256):
+            some = rest[lo : lo + 256]
+            self.pieces.update(zip(some, self.library([" " + p for p in some]), strict=True))
+
+    def _two_lines(self, piece: str) -> bytes | None:
+        """Ids of a piece of two words with marks behind them and one line break between; else None."""
+        above, line_break, below = piece.partition("\n")
+        first, second = above.rstrip(MARKS), below.rstrip(MARKS)
+        if not (line_break and first.isalpha() and second.isalpha()):
+            return None
+        tails = [self._bare(w) if w else b"" for w in (above[len(first) :], below[len(second) :])]
+        return self._spaced(first) + tails[0] + self._bare(line_break) + self._bare(second) + tails[1]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.pieces) > self.cache:
             self.pieces.clear()
-        if len(self.words) > self.word_cache:
-            self.words.clear()
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.alone("", first)
-        last = rest.pop()
-        if first and last and not first[-1].isspace():
-            try:
-                return b"".join((self.alone("", first), *map(self.pieces.__getitem__, rest), self.alone(" ", last)))
-            except TypeError:
-                pass  # a run of white space crosses a space
-        if _SEPARATOR.search(text):
-            return self.library(text)
-        return b"".join(self.pieces[c[1:]] or self.library(c) if c[0] == " " and c[1:] else self.alone("", c) for c in _CHUNK.findall(text))
+        if len(self.bare) > self.cache:
+            self.bare.clear()
+        out = [b""] * len(texts)
+        firsts: dict[int, str] = {}
+        whole: list[int] = []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.splits or any(s in text for s in self.specials):
+                whole.append(k)
+                continue
+            first, *rest = text.split(" ")
+            got = list(map(self.pieces.get, rest))
+            new = dict.fromkeys(p for p, ids in zip(rest, got, strict=True) if ids is None)
+            if rest and (not first or first[-1].isspace()) or any(not p or p[-1].isspace() for p in new):
+                # a run of white space crosses a space, or the text ends in white space
+                if _SEPARATOR.search(text):
+                    whole.append(k)
+                else:
+                    out[k] = b"".join(self._chunks(_CHUNK.findall(text)))
+                continue
+            if new:
+                self._learn(new)
+                got = map(self.pieces.__getitem__, rest)
+            out[k] = b"".join(got)
+            firsts[k] = first
+        for k, ids in zip(firsts, self.library(list(firsts.values())), strict=True):
+            out[k] = ids + out[k]
+        for k in whole:
+            out[k] = self.library([texts[k]])[0]
+        return out
+
+    def _chunks(self, chunks: list[str]) -> Iterator[bytes]:
+        """Ids of each of a text's chunks, which all start with white space but for the first."""
+        pieces = {c[1:] for c in chunks if c[0] == " " and c[1:] and not c[-1].isspace()}
+        self._learn(pieces.difference(self.pieces))
+        rest = [c for c in chunks if c[1:] not in pieces or c[0] != " "]
+        known = dict(zip(rest, self.library(rest), strict=True))
+        return (known[c] if c in known else self.pieces[c[1:]] for c in chunks)
+
+    def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+    def each(self, rows: Iterable[tuple], longest: float = math.inf) -> Iterator[tuple]:
+        """(key, text, ids) of each (key, text), with texts of about ``AT_ONCE`` characters at a time.
+
+        A text of more than ``longest`` characters comes at once, out of turn, with None for its ids.
+        """
+        held: list[tuple] = []
+        size = 0
+        for key, text in rows:
+            if len(text or "") > longest:
+                yield key, text, None
+                continue
+            held.append((key, text or ""))
+            size += len(held[-1][1])
+            if size >= AT_ONCE or len(held) >= 4096:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, held: list[tuple]) -> Iterator[tuple]:
+        for (key, text), ids in zip(held, self.many([t for _, t in held]), strict=True):
+            yield key, text, ids
 
 
 _loaded: dict[tuple, ByteBpe] = {}
 
 
-def encoder(path: str, cache: int = CACHE, word_cache: int | None = None) -> ByteBpe:
+def encoder(path: str, cache: int = CACHE) -> ByteBpe:
     """The process's own encoder of a file; Python workers live on over many tasks."""
-    key = (path, cache, word_cache)
-    if key not in _loaded:
-        _loaded[key] = ByteBpe(*key)
-    return _loaded[key]
+    if (path, cache) not in _loaded:
+        _loaded[path, cache] = ByteBpe(path, cache)
+    return _loaded[path, cache]

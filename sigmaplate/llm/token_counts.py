@@ -70,7 +70,7 @@ def splice(text: str, encode, chunk: int, overlap: int) -> list[int]:
 
 
 def counter(path: str, chunk: int = 65_536, overlap: int = 512):
-    """A function from text to its number of ids, for a ``.json`` or ``.model`` file.
+    """A function from (key, text) rows to (key, text, number of ids), for a ``.json`` or ``.model`` file.
 
     .json: ``tokenizers`` without special tokens; .model: ``sentencepiece``, whose normalisation
     looks at whole texts, so that those are encoded whole.
@@ -79,16 +79,18 @@ def counter(path: str, chunk: int = 65_536, overlap: int = 512):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(model.encode(text, num_threads=1) if isinstance(text, list) else model.encode(text))
+        return lambda source: ((d, t or "", len(model.encode(t or ""))) for d, t in source)
     coder = bpe.encoder(path)
 
     def encode(text: str):
         return coder.tokenizer.encode(text, add_special_tokens=False)
 
-    def count(text: str) -> int:
-        if len(text) <= chunk:
-            return len(coder.ids(text)) // 4
-        return len(splice(text, encode, chunk, overlap) if coder.splits else encode(text).ids)
+    def count(source: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text, ids in coder.each(source, longest=chunk):
+            if ids is None:
+                yield doc_id, text, len(splice(text, encode, chunk, overlap) if coder.splits else encode(text).ids)
+            else:
+                yield doc_id, text, len(ids) // 4
 
     return count
 
@@ -102,7 +104,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer, chunk, overlap)
-        source = ((d, len(t.encode()), count(t)) for d, t in ((d, t or "") for d, t in rows(batches, "doc_id", "text", at_once=256)))
+        source = ((d, len(t.encode()), n) for d, t, n in count(rows(batches, "doc_id", "text", at_once=256)))
         yield from record_batches(source, _SCHEMA)
 
     counted = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

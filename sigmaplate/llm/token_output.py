@@ -26,9 +26,9 @@ _DOCS = pa.schema(
 )
 
 
-def _shards(tokenizer: str, end_id: int, shard_tokens: int, caches: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _shards(tokenizer: str, end_id: int, shard_tokens: int, cache: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = bpe.encoder(tokenizer, *caches), int(end_id).to_bytes(4, "little")
+        coder, end = bpe.encoder(tokenizer, cache), int(end_id).to_bytes(4, "little")
         part, shard = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         sizes: list[int] = []
@@ -40,8 +40,8 @@ def _shards(tokenizer: str, end_id: int, shard_tokens: int, caches: tuple) -> Ca
             row = (part, shard, names[0], names[-1], len(names), total, tokenfile.encode(names, sizes, ids))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SHARDS, strict=True)], schema=_SHARDS)
 
-        for doc_id, text in rows(batches, "doc_id", "text", at_once=256):
-            ids = coder.ids(text or "") + end
+        for doc_id, _, ids in coder.each(rows(batches, "doc_id", "text", at_once=256)):
+            ids += end
             names.append(doc_id)
             sizes.append(len(ids) // 4)
             held.append(ids)
@@ -55,7 +55,7 @@ def _shards(tokenizer: str, end_id: int, shard_tokens: int, caches: tuple) -> Ca
     return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = 1_000_000, caches: tuple = (bpe.CACHE,)) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = 1_000_000, cache: int = bpe.CACHE) -> None:
     """Write the ids of all documents as shards in ascending doc_id order (nulls first).
 
     docs: columns doc_id and text; others are ignored.  Null text is empty; every document gets
@@ -64,10 +64,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     so order holds over partitions (column part), over the shards of one (column shard) and within
     a shard.  A shard ends with the document that brings it to ``shard_tokens``, which bounds what
     a task holds to that and one document.  Tasks write through Spark's committer: a repeated task
-    replaces what a lost one left.  caches: the sizes of each worker's caches, see ``bpe.ByteBpe``.
+    replaces what a lost one left.  cache: the size of each worker's cache, see ``bpe.ByteBpe``.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_shards(tokenizer, end_id, shard_tokens, caches), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(_shards(tokenizer, end_id, shard_tokens, cache), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +100,8 @@ def read_shards(table: DataFrame) -> DataFrame:
     )
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, caches: tuple = (bpe.CACHE,)) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, cache: int = bpe.CACHE) -> DataFrame:
     """Write the documents' shards into the shared folder and return what they hold, read back."""
     path = f"{shared_dir(docs.sparkSession)}/token_ids"
-    write_shards(docs, path, tokenizer, end_id, caches=caches)
+    write_shards(docs, path, tokenizer, end_id, cache=cache)
     return read_shards(docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path))
