@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: Entries of about 150 bytes each; more save time where texts hold many different words.
-CACHE = 600_000
+CACHE = 1_200_000
 #: Characters of the texts that are worked on at once.
 AT_ONCE = 1_000_000
 
@@ -124,7 +124,8 @@ class ByteBpe:
                 continue
             first, *rest = text.split(" ")
             got = list(map(self.pieces.get, rest))
-            new = dict.fromkeys(p for p, ids in zip(rest, got, strict=True) if ids is None)
+            gaps = [i for i, ids in enumerate(got) if ids is None]
+            new = dict.fromkeys(map(rest.__getitem__, gaps))
             if rest and (not first or first[-1].isspace()) or any(not p or p[-1].isspace() for p in new):
                 # a run of white space crosses a space, or the text ends in white space
                 if _SEPARATOR.search(text):
@@ -134,7 +135,8 @@ class ByteBpe:
                 continue
             if new:
                 self._learn(new)
-                got = map(self.pieces.__getitem__, rest)
+                for i in gaps:
+                    got[i] = self.pieces[rest[i]]
             out[k] = b"".join(got)
             firsts[k] = first
         for k, ids in zip(firsts, self.library(list(firsts.values())), strict=True):
