@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: Entries of about 150 bytes each; more save time where texts hold many different words.
-CACHE = 900_000
+CACHE = 600_000
 #: Characters of the texts that are worked on at once.
 AT_ONCE = 100_000
 
