@@ -75,3 +75,61 @@ def normal_cdf(x: Column) -> Column:
 
 def normal_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2.0) / math.sqrt(2 * math.pi)
+
+
+def trigamma(x: Column) -> Column:
+    """Second derivative of gamma_ln, by the same shift and series."""
+    shifted = F.lit(0.0)
+    for k in range(8):
+        shifted = shifted + F.lit(1.0) / ((x + float(k)) * (x + float(k)))
+    z = x + 8.0
+    series = F.lit(0.0)
+    for k, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66), 1):
+        series = series + F.lit(b) / F.pow(z, F.lit(2.0 * k + 1))
+    return F.lit(1.0) / z + F.lit(0.5) / (z * z) + series + shifted
+
+
+def choose_ln(n: Column, k: Column) -> Column:
+    """ln of the binomial coefficient, for real 0 <= k <= n."""
+    return gamma_ln(n + 1.0) - gamma_ln(k + 1.0) - gamma_ln(n - k + 1.0)
+
+
+def rising_factorial_ln(x: Column, n: Column) -> Column:
+    """ln of x (x + 1) ... (x + n - 1), for x > 0."""
+    return gamma_ln(x + n) - gamma_ln(x)
+
+
+def logistic_ln(x: Column) -> Column:
+    return -log1p_exp(-x)
+
+
+def log1m_exp(x: Column) -> Column:
+    """ln(1 - e**x) for x < 0, exact at both ends."""
+    return F.when(x > -math.log(2.0), F.log(-F.expm1(x))).otherwise(F.log1p(-F.exp(x)))
+
+
+def log_expm1(x: Column) -> Column:
+    """ln(e**x - 1) for x > 0, without overflow."""
+    return x + log1m_exp(-x)
+
+
+def log_difference_of_exp(x: Column, y: Column) -> Column:
+    """ln(e**x - e**y) for x > y."""
+    return x + log1m_exp(y - x)
+
+
+def normal_cdf_inverse(p: Column) -> Column:
+    """The x of which normal_cdf is p: Newton's method in the lower tail; infinite at 0 and 1, null outside.
+
+    The steps are those of ln normal_cdf, a concave function, so they don't overshoot from below.
+    """
+    tail = F.least(p, F.lit(1.0) - p)
+    start = -F.sqrt(F.log(tail) * -2.0)  # at or below the root, by the tail bound exp(-x*x/2)
+
+    def step(x: Column, _: Column) -> Column:
+        cdf = normal_cdf(x)
+        return x + (F.log(tail) - F.log(cdf)) * cdf / normal_pdf(x)
+
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step)
+    x = F.when(p <= 0.5, x).otherwise(-x)
+    return F.when(p == 0, float("-inf")).when(p == 1, float("inf")).when((p > 0) & (p < 1), x)

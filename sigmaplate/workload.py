@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import families, scalar
 from .learners import classifier, crowd, mixture
-from .operators import conjugate, estimators, linear_algebra, messages, metrics, recommender, relational, strings
+from .operators import conjugate, estimators, factors, linear_algebra, messages, metrics, recommender, relational, strings
 from .plans.model import SumModel
 from .streaming import posterior
 
@@ -235,6 +235,59 @@ def normal_distribution(spark: SparkSession, d: str) -> DataFrame:
     return rounded(table(spark, d, "events").select("event_id", scalar.normal_cdf(x).alias("cdf"), scalar.normal_pdf(x).alias("pdf"), scalar.digamma(F.abs(x) + 0.1).alias("digamma")))
 
 
+@query("""
+SELECT p_partkey, round(lgamma(50.0 + 1) - lgamma(p_size::DOUBLE + 1) - lgamma(51.0 - p_size), 6) AS choose, round(lgamma(p_size + 3.5) - lgamma(p_size::DOUBLE), 6) AS rising,
+       round(-ln(1 + exp(-(p_size - 25.0)/5)), 6) AS logistic_log, round(ln(exp(p_size/10.0::DOUBLE) - 1), 6) AS expm1_log FROM part
+""")
+def combinatorial_functions(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size").cast("double")
+    return rounded(table(spark, d, "part").select(
+        "p_partkey", scalar.choose_ln(F.lit(50.0), s).alias("choose"), scalar.rising_factorial_ln(s, F.lit(3.5)).alias("rising"),
+        scalar.logistic_ln((s - 25.0) / 5.0).alias("logistic_log"), scalar.log_expm1(s / 10.0).alias("expm1_log"),
+    ))
+
+
+# Closed-form factors
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(p*q, 6) AS both, round(p + q - p*q, 6) AS either, round(p*q + (1-p)*(1-q), 6) AS same,
+       round((0.9*q + 0.1*(1-q)) / (0.9*q + 0.1*(1-q) + 0.1), 6) AS to_first, round(0.9 / (0.9 + 0.9*q + 0.1*(1-q)), 6) AS to_first_either
+FROM (SELECT l_orderkey, l_linenumber, l_quantity/51.0::DOUBLE AS p, l_discount*5.0::DOUBLE AS q FROM lineitem)
+""")
+def logic_messages(spark: SparkSession, d: str) -> DataFrame:
+    p, q, r = F.col("l_quantity") / 51.0, F.col("l_discount") * 5.0, F.lit(0.9)
+    return rounded(table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", factors.all_of(p, q).alias("both"), factors.any_of(p, q).alias("either"), factors.equal(p, q).alias("same"),
+        factors.all_of_message(r, q).alias("to_first"), factors.any_of_message(r, q).alias("to_first_either"),
+    ))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(2*l_quantity - 0.5*l_tax, 6)::DOUBLE AS mean, round(4*1.5 + 0.25*(l_discount + 1), 6)::DOUBLE AS variance FROM lineitem")
+def linear_factor(spark: SparkSession, d: str) -> DataFrame:
+    got = factors.linear_moments([(2.0, F.col("l_quantity").cast("double"), F.lit(1.5)), (-0.5, F.col("l_tax"), F.col("l_discount") + 1.0)])
+    return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in got.items()]))
+
+
+@query()
+def truncated_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    got = factors.truncated_moments((F.col("value") - 50.0) / 10.0, F.lit(4.0), 0.0, 5.0)
+    return rounded(table(spark, d, "events").select("event_id", got.alias("t")).select("event_id", "t.*"))
+
+
+@query()
+def greater_and_maximum(spark: SparkSession, d: str) -> DataFrame:
+    args = (F.col("l_quantity").cast("double"), F.lit(9.0), F.col("l_extendedprice") / 1000.0, F.lit(16.0))
+    both = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", factors.greater_probability(*args).alias("greater"), factors.maximum_moments(*args).alias("t"))
+    return rounded(both.select("l_orderkey", "l_linenumber", "greater", "t.*"))
+
+
+@query()
+def normal_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    p = (F.col("p_size") - 0.5) / 50.0
+    return rounded(table(spark, d, "part").select("p_partkey", scalar.normal_cdf_inverse(p).alias("quantile"), scalar.trigamma(F.col("p_size") / 10.0).alias("trigamma")))
+
+
 # Estimators
 
 
