@@ -1,6 +1,7 @@
 """Every training-data operator against brute force, on awkward rows and on the smallest tables."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -389,3 +390,42 @@ def test_lm_score_joins_many_targets(spark, docs, monkeypatch):
     monkeypatch.setattr(lm_score, "MAX_IDS", 3)
     got = lm_score.cross_entropy_difference(docs, target).collect()
     assert sorted(map(repr, want)) == sorted(map(repr, got))
+
+
+@pytest.mark.parametrize("most", [1 << 21, 1000])
+def test_lm_score_counts_every_word_and_pair(spark, monkeypatch, most):
+    monkeypatch.setattr(lm_score, "SLICE", most)
+    rng = random.Random(8)
+    common = [f"w{k}" for k in range(5000)]
+    slots = lm_score.hash_words(" ".join(common)) >> np.uint64(44)
+    assert len(set(slots.tolist())) < len(common)  # 2^20 slots would merge some of them
+    texts = {k: rng.choices(common[k % 2 :: 2], k=40_000 if k < 4 else 60) + [f"once{k}"] for k in range(40)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, df.where("doc_id % 2 = 1").select("doc_id")).collect()}
+    seen = defaultdict(int)
+    for w in texts.values():
+        for x in w:
+            seen[x] += 1
+    texts = {k: [x if seen[x] >= lm_score.MIN_COUNT else None for x in w] for k, w in texts.items()}
+    one, two, total = defaultdict(int), defaultdict(int), [0, 0]
+    for k, w in texts.items():
+        m = 1 - k % 2
+        total[m] += len(w)
+        for h, x in zip(["", *w], w):
+            one[m, x] += 1
+            two[m, h, x] += 1
+    vocabulary = sum(n >= lm_score.MIN_COUNT for n in seen.values()) + 1
+    for k, w in texts.items():
+        loss = [0.0, 0.0]
+        for m in (0, 1):
+            mine = m == 1 - k % 2
+            own_one, own_two = defaultdict(int), defaultdict(int)
+            for h, x in zip(["", *w], w) if mine else ():
+                own_one[x] += 1
+                own_two[h, x] += 1
+            for h, x in zip(["", *w], w):
+                pair = two[m, h, x] - own_two[h, x]
+                context = pair if h == "" else one[m, h] - own_one[h]
+                base = (one[m, x] - own_one[x] + 1) / (total[m] - mine * len(w) + vocabulary)
+                loss[m] -= math.log((min(pair, context) + lm_score.MU * base) / (context + lm_score.MU)) / len(w)
+        assert (got[k].target_loss, got[k].background_loss) == (pytest.approx(loss[0], rel=1e-9), pytest.approx(loss[1], rel=1e-9))
