@@ -54,17 +54,17 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row: the fingerprint as a signed long.  Null text has no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) and ``more`` columns of longs of every row: the fingerprint as a signed long.  Null text has no words."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t) for (t,) in rows(iter([batch]), "text", at_once=256)]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *[batch.column(2 + k) for k in range(len(more))]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +206,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of each of the distinct fingerprints that is linked to another."""
+    tree = components(links(distinct, radius))
+    return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), "root")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs (doc_id, text; other columns are ignored).
 
@@ -217,9 +223,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     own = materialize(fingerprints(docs), "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    tree = components(links(first.select("fp"), radius))
-    linked = tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
-    linked = linked.select(F.col("node").alias("fp"), "root").join(first, "fp")
+    linked = _roots(first.select("fp"), radius).join(first, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
     named = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
@@ -229,14 +233,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id is the component_id.
+    """docs with one row of each component: that with the least doc_id, nulls last, and of equal ones the first.
 
-    Rows that repeat a doc_id are one document and stay or go together; rows with a null doc_id
-    stay only if their component has no other.  Same cases as ``near_duplicates``.
+    Rows are judged each, whatever ids they share: a doc_id on texts of two components stays in
+    both.  Same cases as ``near_duplicates``.  Rows are numbered in a table of their own.
     """
-    found = near_duplicates(docs, radius)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("id", F.col("row.doc_id"))
-    same = F.col("d.id").eqNullSafe(F.col("g.doc_id"))
-    kept = named.alias("d").join(gone.alias("g"), same, "left_anti")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
+    packed = materialize(docs.select(every, F.monotonically_increasing_id().alias("row")), "rows")
+    own = fingerprints(packed.select(F.col("all.doc_id").alias("doc_id"), F.col("all.text").alias("text"), "row"), "row")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = materialize(own.groupBy("fp").agg(F.min(place).alias("first")), "firsts")
+    named = first.join(_roots(first.select("fp"), radius), "fp", "left")
+    stays = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.row")
+    return packed.join(stays, "row", "left_semi").select(*[F.col(f"all.`{c}`").alias(c) for c in docs.columns])

@@ -223,6 +223,14 @@ def test_one_document_of_each_group_stays(docs, awkward):
     assert sorted(str(r.doc_id) for r in simhash.keep_representatives(awkward).collect()) == sorted(["1", "2", "5", "7", "8", "None"])
 
 
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    one, two, three, four = ("the first text of all these", "quite another text about something", "a third one that is alone here", "fourth words nobody else has said")
+    rows = [(1, one), (None, one), (None, two), (None, two), (None, three), (5, one), (5, four), (1, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(repr, simhash.keep_representatives(df.repartition(3)).collect()))
+    assert kept == sorted(map(repr, spark.createDataFrame([(1, one), (None, two), (None, three), (5, four)], df.schema).collect()))
+
+
 # Decontamination
 
 
