@@ -550,6 +550,11 @@ def negative_samples(spark: SparkSession, d: str) -> DataFrame:
     return recommender.popular_negatives(_ratings(spark, d), 3, 50)
 
 
+@query()
+def histogram_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return recommender.histogram_negatives(_ratings(spark, d))
+
+
 @query(f"""
 WITH r AS ({_RATINGS}),
 s AS (SELECT a.item, b.item AS other, count(*) AS common, 1/(1+avg(abs(a.rating-b.rating))) AS similarity FROM r a JOIN r b ON a.usr = b.usr AND a.item <> b.item GROUP BY 1, 2 HAVING count(*) >= 2),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sigmaplate import workload
 from sigmaplate.functions import scalar
 from sigmaplate.learners import classifier, mixture
-from sigmaplate.operators import linear_algebra, messages, metrics
+from sigmaplate.operators import linear_algebra, messages, metrics, recommender
 from sigmaplate.operators.strings import Automaton
 from sigmaplate.sources import formats
 from sigmaplate.streaming import posterior
@@ -100,6 +100,17 @@ def test_automata():
     assert Automaton.repeated(str.isalpha).log_value("abcdefgh") == 0.0
 
 
+def test_every_user_gets_the_negatives_owed(spark):
+    rated = {u: set(range(u % 90 + 1)) for u in range(70)} | {500: set(range(199)), 501: set(range(200)), 502: set(range(120))}
+    df = spark.createDataFrame([(u, i, 5) for u, items in rated.items() for i in items], "user long, item long, rating long")
+    got = [tuple(r) for r in recommender.histogram_negatives(df).collect()]
+    assert len(set(got)) == len(got) and not any(i in rated[u] for u, i in got)
+    found = {u: sum(v == u for v, _ in got) for u in rated}
+    assert found == {u: min(len(items), 200 - len(items)) for u, items in rated.items()}
+    assert {i for _, i in got} - set(range(50))
+    assert sorted(got) == sorted(tuple(r) for r in recommender.histogram_negatives(df.repartition(7)).collect())
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "r.txt").write_text("# a comment\nR,0,5\nU,u1,1:0.5|2:1\nI,i1,\nu1,i1,4\nu1,i2,2.5\n")
     got = formats.read_recommender(spark, str(tmp_path / "r.txt"))
