@@ -701,6 +701,16 @@ def matrix_product(spark: SparkSession, d: str) -> DataFrame:
     return rounded(linear_algebra.multiply(m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), m), 4)
 
 
+@query()
+def vector_covariance_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(linear_algebra.covariances(table(spark, d, "embeddings"), "label", "embedding"))
+
+
+@query()
+def matrix_product_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(linear_algebra.gram(table(spark, d, "embeddings"), "embedding"), 4)
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS norm2 FROM embeddings")
 def inner_products(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")

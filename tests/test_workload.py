@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,23 @@ def test_automata():
     assert Automaton.repeated(str.isalpha).log_value("abcdefgh") == 0.0
 
 
+def test_all_dimensions_count(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select("label", "embedding").collect()
+    x = np.array([r.embedding for r in rows], float)
+    got = workload.QUERIES["matrix_product_whole"](spark, small).collect()
+    product = x.T @ x
+    assert len(got) == x.shape[1] ** 2 and all(r.v == pytest.approx(product[r.i, r.j], abs=1e-3) for r in got)
+    got = workload.QUERIES["vector_covariance_whole"](spark, small).collect()
+    want = {label: np.cov(x[[r.label == label for r in rows]].T, bias=True) for label in {r.label for r in rows}}
+    assert len(got) == len(want) * x.shape[1] * (x.shape[1] + 1) // 2
+    assert all(r.covariance == pytest.approx(want[r.label][r.i, r.j], abs=2e-6) for r in got)
+    odd = [("a", [1e6 + k, float(k * k), None if k == 3 else 2.0 * k]) for k in range(9)] + [("a", None), ("a", [1e6]), (None, [1.0])]
+    df = spark.createDataFrame(odd, "label string, embedding array<double>").repartition(3)
+    cells = {(r.label, r.i, r.j): r.covariance for r in linear_algebra.covariances(df, "label", "embedding").collect()}
+    ks = np.array([k for k in range(9) if k != 3], float)
+    assert cells["a", 0, 2] == pytest.approx(np.cov(ks, 2 * ks, bias=True)[0, 1]) and cells[None, 0, 0] == 0 and len(cells) == 7
+
+
 def test_every_user_gets_the_negatives_owed(spark):
     rated = {u: set(range(u % 90 + 1)) for u in range(70)} | {500: set(range(199)), 501: set(range(200)), 502: set(range(120))}
     df = spark.createDataFrame([(u, i, 5) for u, items in rated.items() for i in items], "user long, item long, rating long")
