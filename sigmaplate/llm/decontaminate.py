@@ -141,7 +141,7 @@ def _parts(benchmark: DataFrame, max_bytes: int) -> list:
     return [lambda k=k: part(k) for k in range(parts)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, max_bytes: int = MAX_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, max_bytes: int = MAX_BYTES, row: str | None = None) -> DataFrame:
     """(doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated, items) of every row of docs.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored.  A word inside any
@@ -151,15 +151,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     The benchmark's size is summed first.  Up to ``max_bytes`` it is sent to the workers as one
     automaton and nothing is shuffled.  A larger one is cut by hash into parts of about that size;
-    docs is scanned once for each, and the parts' word ranges and items are united per row (column
-    row, else 0).
+    docs is scanned once for each, and the parts' word ranges and items are united per row.
+    Rows are numbered for that, unless ``row`` names a column of longs that tells them apart; a
+    column of docs that happens to be called row is ignored like any other.
     """
     parts = _parts(benchmark, max_bytes)
     if len(parts) == 1:
         scans = _scan(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row")), parts[0](), window)
         united = scans.select("doc_id", "row", "n_words", _merged(F.col("ranges")).alias("n_hit"), "items")
     else:
-        numbered = docs if "row" in docs.columns else materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
+        if row:
+            numbered = docs.select("doc_id", "text", F.col(row).alias("row"))
+        else:
+            numbered = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
         scans = _scan(numbered, parts[0](), window)
         for part in parts[1:]:
             scans = scans.unionByName(_scan(numbered, part(), window))
@@ -185,7 +189,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     parts = _parts(benchmark, max_bytes)
     if len(parts) > 1:
         packed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.monotonically_increasing_id().alias("row")), "rows")
-        judged = contamination(packed.select("all.doc_id", "all.text", "row"), benchmark, window, share, max_bytes)
+        judged = contamination(packed.select("all.doc_id", "all.text", "row"), benchmark, window, share, max_bytes, row="row")
         kept = packed.join(judged.where("contaminated").select("row"), "row", "left_anti")
         return kept.select(*[F.col(f"all.`{c}`").alias(c) for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(parts[0]())

@@ -269,6 +269,15 @@ def test_decontamination(spark, awkward, empty):
     assert decontaminate.contamination(more.drop("row"), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_a_column_called_row_changes_nothing(spark):
+    bench = spark.createDataFrame([(1, "red green blue"), (2, "one two three")], "item_id long, text string")
+    texts = [(1, "red green blue x", "same"), (1, "one two three y", "same"), (1, "red green blue x", "same"), (2, "none of it", "other")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, row string")
+    for size in (16_000_000, 10):
+        got = decontaminate.contamination(df, bench, max_bytes=size).select("doc_id", "n_words", "n_hit", "n_items").collect()
+        assert sorted(tuple(r) for r in got) == [(1, 4, 3, 1)] * 3 + [(2, 3, 0, 0)]
+
+
 # Media
 
 
