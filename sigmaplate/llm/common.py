@@ -10,16 +10,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Scratch folders of this process, for ``discard``.
+_folders: list[str] = []
+#: Bytes of Arrow columns that are turned into Python values, or gathered into one batch, at a time.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A scratch folder that driver and executors share.
+    """A scratch folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of the warehouse,
-    which every process of the application sees too.
+    Where that is unset, local mode takes a folder of the warehouse; a cluster raises, as a path
+    there could lie on each machine's own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/sigmaplate-{uuid.uuid4().hex}"
+    _folders.append(f"{root.rstrip('/')}/sigmaplate-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the scratch folders that this process made; results that read them must be written before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,16 +57,23 @@ def ascii_lower(col: Column) -> Column:
 
 
 def rows(batches: Iterator[pa.RecordBatch], *columns: str, at_once: int = 1024) -> Iterator[tuple]:
-    """Python tuples of the columns, converting a bounded number of rows at a time."""
+    """Python tuples of the columns, converting at most ``at_once`` rows and about BATCH_BYTES at a time."""
     for batch in batches:
         arrays = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-        for lo in range(0, batch.num_rows, at_once):
-            yield from zip(*(a.slice(lo, at_once).to_pylist() for a in arrays), strict=True)
+        size = sum(a.nbytes for a in arrays)
+        step = max(1, min(at_once, batch.num_rows * BATCH_BYTES // max(1, size)))
+        for lo in range(0, batch.num_rows, step):
+            yield from zip(*(a.slice(lo, step).to_pylist() for a in arrays), strict=True)
+
+
+def _size(row: tuple) -> int:
+    return sum(len(v) for v in row if isinstance(v, (bytes, str, list)))
 
 
 def record_batches(source: Iterator[tuple], schema: pa.Schema, at_once: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most ``at_once`` rows from Python tuples."""
+    """Arrow batches of Python tuples, of at most ``at_once`` rows and, but for its last row, BATCH_BYTES of values."""
     held: list[tuple] = []
+    size = 0
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*held, strict=True))
@@ -59,9 +83,10 @@ def record_batches(source: Iterator[tuple], schema: pa.Schema, at_once: int = 40
 
     for row in source:
         held.append(row)
-        if len(held) >= at_once:
+        size += _size(row)
+        if len(held) >= at_once or size >= BATCH_BYTES:
             yield flush()
-            held = []
+            held, size = [], 0
     if held:
         yield flush()
 
