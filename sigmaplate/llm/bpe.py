@@ -13,11 +13,11 @@ two pre-tokens, which the library's BPE model encodes; others go through the lib
 
 from __future__ import annotations
 
-import math
 import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _SEPARATOR = re.compile(r"[\x1c-\x1f]")
@@ -58,7 +58,10 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache = cache
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.specials = [t.content for t in added]
+        #: Special strings without white space that take none from their neighbours either, so that breaks stay breaks beside them.
+        self.plain_specials = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or any(map(str.isspace, t.content)) for t in added)
         self.splits = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
         self.splits &= not getattr(self.tokenizer.pre_tokenizer, "add_prefix_space", True)
         self.alphabet = byte_alphabet()
@@ -153,20 +156,54 @@ class ByteBpe:
         known = dict(zip(rest, self.library(rest), strict=True))
         return (known[c] if c in known else self.pieces[c[1:]] for c in chunks)
 
+    def parts(self, text: str) -> tuple[list[bytes], list[int]]:
+        """Ids of a text's pieces in order, and the character at which each starts.
+
+        Every place where a space follows a character that isn't white space starts a piece.
+        """
+        if not self.splits:
+            raise ValueError("no breaks are proven for this tokenizer file")
+        if not text:
+            return [], []
+        if any(s in text for s in self.specials) or _SEPARATOR.search(text):
+            return self._library_parts(text)
+        if len(self.pieces) > self.cache:
+            self.pieces.clear()
+        if len(self.bare) > self.cache:
+            self.bare.clear()
+        first, *rest = text.split(" ")
+        got = list(map(self.pieces.get, rest))
+        gaps = [i for i, ids in enumerate(got) if ids is None]
+        new = dict.fromkeys(map(rest.__getitem__, gaps))
+        if rest and (not first or first[-1].isspace()) or any(not p or p[-1].isspace() for p in new):
+            chunks = _CHUNK.findall(text)
+            return list(self._chunks(chunks)), [0, *accumulate(map(len, chunks[:-1]))]
+        if new:
+            self._learn(new)
+            for i in gaps:
+                got[i] = self.pieces[rest[i]]
+        starts = [0, *accumulate((len(p) + 1 for p in rest[:-1]), initial=len(first))] if rest else [0]
+        return [self.library([first])[0], *got], starts
+
+    def _library_parts(self, text: str) -> tuple[list[bytes], list[int]]:
+        if not self.plain_specials and any(s in text for s in self.specials):
+            return [self.library([text])[0]], [0]
+        encoding = self.tokenizer.encode(text, add_special_tokens=False)
+        before: dict[int, int] = {}  # characters of several bytes may have several ids with the same offsets
+        for k, (lo, _) in enumerate(encoding.offsets):
+            before.setdefault(lo, k)
+        starts = [0, *(p for p in before if p and text[p] == " " and not text[p - 1].isspace())]
+        places = [0, *(before[p] for p in starts[1:]), len(encoding.ids)]
+        return [_pack(encoding.ids[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)], starts
+
     def ids(self, text: str) -> bytes:
         return self.many([text])[0]
 
-    def each(self, rows: Iterable[tuple], longest: float = math.inf) -> Iterator[tuple]:
-        """(key, text, ids) of each (key, text), with texts of about ``AT_ONCE`` characters at a time.
-
-        A text of more than ``longest`` characters comes at once, out of turn, with None for its ids.
-        """
+    def each(self, rows: Iterable[tuple]) -> Iterator[tuple]:
+        """(key, text, ids) of each (key, text), with texts of about ``AT_ONCE`` characters at a time."""
         held: list[tuple] = []
         size = 0
         for key, text in rows:
-            if len(text or "") > longest:
-                yield key, text, None
-                continue
             held.append((key, text or ""))
             size += len(held[-1][1])
             if size >= AT_ONCE or len(held) >= 4096:
