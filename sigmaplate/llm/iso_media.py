@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import record_batches, rows
+from .common import materialize, record_batches, rows
 
 SAMPLE = 576
 CHUNK_SAMPLES = 16
@@ -125,8 +125,20 @@ def walk(data: bytes | memoryview, lo: int = 0, hi: int | None = None, path: tup
         lo = end
 
 
+def _compact(data: bytes | memoryview, at: int, bits: int, n: int) -> list[int]:
+    """n sample sizes of 4, 8 or 16 bits; of two in a byte the upper is first."""
+    if bits == 4:
+        return [b >> shift & 15 for b in data[at : at + (n + 1) // 2] for shift in (4, 0)][:n]
+    if bits not in (8, 16):
+        raise ValueError(f"sample sizes of {bits} bits")
+    return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", data, at))
+
+
 def probe(data: bytes) -> list[Track]:
-    """The tracks of a container, from its boxes and sample tables alone."""
+    """The tracks of a container, from its boxes and sample tables alone.
+
+    Raises ValueError for movie fragments, whose samples no table of the movie box names.
+    """
     tracks: list[Track] = []
     tables: dict[bytes, object] = {}
 
@@ -137,6 +149,8 @@ def probe(data: bytes) -> list[Track]:
 
     for path, at, end in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            raise ValueError(f"a movie fragment at byte {at - 8}")
         if kind == b"trak":
             close()
             tracks.append(Track())
@@ -155,7 +169,10 @@ def probe(data: bytes) -> list[Track]:
             t.ticks = sum(count * delta for count, delta in zip(flat[::2], flat[1::2], strict=True))
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", data, at + 4)
-            tables[kind] = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at + 12))
+            tables[b"stsz"] = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at + 12))
+        elif kind == b"stz2":
+            bits, n = struct.unpack_from(">xxxBI", data, at + 4)
+            tables[b"stsz"] = _compact(data, at + 12, bits, n)
         elif kind == b"stss":
             (n,) = struct.unpack_from(">I", data, at + 4)
             t.keys = list(struct.unpack_from(f">{n}I", data, at + 8))
@@ -212,23 +229,38 @@ def media_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text stored losslessly in a container of its own.
 
     Null and empty texts give one sample of bytes 255; repeated rows and equal texts give equal
-    media; other columns are ignored.  A row's text, payload and container are held at once, no
-    other row's.
+    media; other columns are ignored.  Containers go on in batches of about 8 MB, a longer one
+    alone.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = ((d, len((t or "").encode()), mux(pad(t))) for d, t in rows(batches, "doc_id", "text", at_once=64))
-        yield from record_batches(source, schema, at_once=64)
+        yield from record_batches(source, schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """``media_table`` of docs, written to the shared folder and read back."""
+    return materialize(media_table(docs), "media")
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """What the stored bytes of ``media_table`` give, read from the containers alone."""
-    names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
-    kinds = [pa.string() if "sha" in n or n == "feature" else pa.int64() for n in names]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
+    """What the stored bytes of ``media_table`` give, read from the containers alone.
+
+    codec and duration (seconds) come from the sample tables, and key_ranges has the first byte and
+    the number of bytes of every key frame in the container; payload, checksums and feature are
+    digests.
+    """
+    kinds = {
+        "doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long",
+        "media_bytes": "long", "media_sha256": "string", "feature": "string", "codec": "string", "duration": "double",
+        "key_ranges": "array<struct<first: long, bytes: long>>",
+    }
+    ranges_type = pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))
+    arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(n, arrow.get(k, ranges_type)) for n, k in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def features() -> Iterator[tuple]:
@@ -237,10 +269,10 @@ def media_features(media: DataFrame) -> DataFrame:
                 payload = payload_of(data, track)
                 yield (
                     doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                    len(data), hashlib.sha256(data).hexdigest(), feature(track),
+                    len(data), hashlib.sha256(data).hexdigest(), feature(track), track.codec.strip(), track.ticks / track.timescale,
+                    [{"first": a, "bytes": n} for a, n in track.key_ranges()],
                 )
 
         yield from record_batches(features(), schema)
 
-    ddl = ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(names, kinds, strict=True))
-    return media.mapInArrow(run, ddl)
+    return media.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))

@@ -59,7 +59,7 @@ def op6_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iso_media.media_features(iso_media.media_table(table(spark, sf_dir, "documents")))
+    return iso_media.media_features(iso_media.stored(table(spark, sf_dir, "documents")))
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
