@@ -4,8 +4,9 @@ Fingerprints that differ in at most 3 bits agree on one of 4 blocks of 16 bits (
 6 blocks for larger tables), so comparing within equal blocks loses no link.  Rows of a block value
 are sorted by population count and compared in square tiles: numpy exclusive-or and bit counts,
 skipping pairs of tiles whose population counts differ by more than the radius.  A block value with
-many rows is dealt over tasks as pairs of slices.  Each task reports a spanning star of what it
-finds instead of all pairs, and connected components are resolved by alternating star steps on
+many rows is cut into slices by population count and dealt over tasks as pairs of slices; a row goes
+to those slices alone whose counts lie within the radius.  Each task reports a spanning star of what
+it finds instead of all pairs, and connected components are resolved by alternating star steps on
 tables in the shared folder.
 """
 
@@ -16,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, rows
@@ -28,6 +29,7 @@ TILE = 256
 #: Rows of one block value that a task takes as one slice.
 SLICE = 4096
 _HASHES = 1 << 16
+_HOT = 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -159,24 +161,33 @@ def _compare(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE, blocks: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp, no repeats) that span the components.
 
-    Any two fingerprints within the radius are connected by the result.
+    Any two fingerprints within the radius are connected by the result.  blocks: into how many the
+    64 bits are cut; two fingerprints within the radius agree on ``blocks - radius`` of them, so
+    more blocks make the shared values longer and the comparisons fewer; by default it follows the
+    number of fingerprints.
     """
-    n = distinct.count()
-    blocks = radius + 1 if n <= 1 << 24 else radius + 2 if n <= 1 << 31 else radius + 3
+    if blocks is None:
+        n = distinct.count()
+        blocks = radius + 1 if n <= 1 << 24 else radius + 2 if n <= 1 << 31 else radius + 3
     edges = np.linspace(0, 64, blocks + 1).astype(int)
     masks = [sum(((1 << int(hi - lo)) - 1) << int(lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if lo in chosen) for chosen in combinations(edges[:-1].tolist(), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     table = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(signed)])
-    keyed = distinct.select("fp", F.explode(table).alias("key")).select("key.block", "key.value", "fp")
-    # Block values with more rows than a slice; at most blocks * n / slice_rows of them.
-    crowded = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
-    keyed = keyed.join(crowded, ["block", "value"], "left")
-    slices = F.coalesce(F.ceil(F.col("n") / slice_rows), F.lit(1)).cast("int")
-    keyed = keyed.withColumn("own", F.pmod(F.xxhash64("fp"), slices).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+    keyed = distinct.select("fp", F.bit_count("fp").alias("ones"), F.explode(table).alias("key")).select("key.block", "key.value", "ones", "fp")
+    # Block values with more rows than a slice; at most blocks * n / slice_rows of them, each a row for 65 population counts at most.
+    block = Window.partitionBy("block", "value")
+    near = block.orderBy("ones").rangeBetween(-radius, radius)
+    crowded = keyed.groupBy("block", "value", "ones").agg(F.count("*").alias("n"))
+    crowded = crowded.withColumn("before", F.sum("n").over(block.orderBy("ones")) - F.col("n")).withColumn("all", F.sum("n").over(block))
+    crowded = crowded.withColumn("least", F.min("before").over(near)).withColumn("most", F.max(F.col("before") + F.col("n")).over(near))
+    crowded = crowded.where(F.col("all") > slice_rows).drop("all")
+    keyed = keyed.join(crowded, ["block", "value", "ones"], "left")
+    place = F.col("before") + F.pmod(F.xxhash64("fp"), F.col("n"))
+    part = lambda at: F.coalesce(F.floor(at / slice_rows), F.lit(0)).cast("int")
+    keyed = keyed.withColumn("own", part(place)).withColumn("other", F.explode(F.sequence(part(F.col("least")), part(F.col("most") - 1))))
     keyed = keyed.select("block", "value", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     where = ["block", "value", "a", "b"]
     dealt = keyed.repartition(*where).sortWithinPartitions(*where)
@@ -222,14 +233,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     only distinct fingerprints are compared.
     """
     own = materialize(fingerprints(docs), "fingerprints")
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = _roots(first.select("fp"), radius).join(first, "fp")
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    linked = _roots(first.select("fp"), radius).join(first.select("fp", "first"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
-    named = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    # As a table of its own it leaves both sides' exchanges to the join, which splits a fingerprint with very many rows.
+    named = first.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
     named = materialize(named, "components")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    # Fingerprints of more than 1 in _HOT rows, fewer than _HOT of them, go to the rows instead of gathering those.
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * _HOT > F.lit(total)
+    hot = F.broadcast(named.where(is_hot).select("fp", "component_id"))
+    rest = own.join(hot.select("fp"), "fp", "left_anti").join(named.where(~is_hot).select("fp", "component_id"), "fp")
+    return own.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
