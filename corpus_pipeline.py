@@ -10,7 +10,7 @@ from sigmaplate.llm.queries import table, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told (null text or no letter)."""
+    """Drop documents whose language can't be told: null text, no letter, or a score below ``langid.MIN_SCORE``."""
     return langid.accepted(docs, langid.learn(docs))
 
 
@@ -30,11 +30,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode into shards and return what they hold: doc_id, start, n_tokens, ids_crc32.
+    """Encode into shards in training order, that of the mix's files, and return what they hold: doc_id, start, n_tokens, ids_crc32.
 
     The cache is smaller than alone, as workers keep what the earlier stages left in them.
     """
-    return token_output.encode_and_read(docs, tokenizer_path(), cache=400_000)
+    return token_output.encode_and_read(docs, tokenizer_path(), cache=400_000, by_file=True)
 
 
 STAGES = [
