@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalar import gamma_ln, logistic
@@ -27,9 +27,13 @@ class Family:
         return messages.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in self.parameters])
 
     def cavity(self, messages: DataFrame, *keys: str) -> DataFrame:
-        """To each message the product of the others of its key: marginal divided by itself."""
-        w = Window.partitionBy(*keys)
-        return messages.withColumns({p: F.sum(p).over(w) - F.col(p) for p in self.parameters})
+        """To each message the product of the others of its key: marginal divided by itself.
+
+        The marginals are pre-aggregated and joined back, so that a hot key isn't gathered.
+        """
+        marginals = messages.groupBy(*keys).agg(*[F.sum(p).alias(f"_{p}") for p in self.parameters])
+        both = messages.join(marginals, list(keys))
+        return both.select(*[(F.col(f"_{c}") - F.col(c)).alias(c) if c in self.parameters else F.col(c) for c in messages.columns])
 
     def power(self, messages: DataFrame, exponent: Column) -> DataFrame:
         return messages.withColumns({p: F.col(p) * exponent for p in self.parameters})

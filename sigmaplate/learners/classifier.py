@@ -1,103 +1,196 @@
-"""Bayesian linear probit classifier, trained by assumed-density filtering with mergeable messages.
+"""Bayesian linear probit classifiers, trained by variational sweeps of mergeable sums.
 
-A batch's message to the weights is the ratio of its posterior to its prior; Gaussians with diagonal
-precision, so messages of batches add up.  Training goes over the batches in parallel for a few
-sweeps, each batch starting from the product of the prior and the other batches' messages.
+Each row has a latent Gaussian score, the inner product of features and weights plus unit noise,
+whose sign is the label.  Given the weights' mean, the mean of a row's score is in closed form;
+given those, the weights are one Gaussian, of precision prior + X'X and mean from X' times the
+scores.  X'X is summed once, X'scores and the bound on the evidence once a sweep: a task works through
+its rows in Arrow batches and sends its sums, which are added up by cell, so that what comes back
+grows with the number of features alone and no rows are gathered.
+
+Several labels are taken one against the rest, with probabilities scaled to 1.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import bound, normal_cdf
+
+_CELLS = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
+
+
+@dataclass(frozen=True)
+class Weights:
+    """The posterior of a classifier's weights; the last one is the bias."""
+
+    features: list[str]
+    mean: np.ndarray
+    covariance: np.ndarray
+    evidence: tuple[float, ...] = ()
+    moved: tuple[float, ...] = ()
+
+    def as_rows(self) -> list[tuple[str, float, float]]:
+        return [(n, float(m), float(v)) for n, m, v in zip([*self.features, "bias"], self.mean, np.diag(self.covariance), strict=True)]
+
+
+def _log_cdf_and_ratio(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the normal distribution function, and the density over it."""
+    from numpy import exp, log, sqrt
+
+    out = np.empty_like(t)
+    low = t < -5
+    near = t[~low]
+    out[~low] = np.log(0.5 * np.array([math.erfc(-x / math.sqrt(2)) for x in near.tolist()]))
+    x = -t[low]  # a continued fraction of the tail
+    f = x.copy()
+    for k in range(60, 0, -1):
+        f = x + k / f
+    out[low] = -x * x / 2 - log(sqrt(2 * math.pi) * f)
+    return out, exp(-t * t / 2 - 0.5 * math.log(2 * math.pi) - out)
+
 
-def _v(t: float) -> float:
-    """Ratio of the normal density to its distribution function."""
-    if t < -8:
-        return -t + 1 / -t  # asymptotic
-    return math.exp(-t * t / 2) / math.sqrt(2 * math.pi) / (0.5 * math.erfc(-t / math.sqrt(2)))
+def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n)]
+    return np.column_stack([*x, np.ones(batch.num_rows)])
 
 
-def filtered(x: np.ndarray, y: np.ndarray, tau: np.ndarray, prec: np.ndarray, noise: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Natural parameters of the weights after each row of x with label y (-1 or 1), in order."""
-    m, v = tau / prec, 1 / prec
-    for row, label in zip(x, y, strict=True):
-        s = math.sqrt(float(row * row @ v) + noise)
-        t = label * float(row @ m) / s
-        ratio = _v(t)
-        m = m + v * row * (label * ratio / s)
-        v = np.maximum(v - (v * row) ** 2 * (ratio * (ratio + t) / (s * s)), 1e-12)
-    return m / v, 1 / v
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    i, j = np.indices(total.shape)
+    return pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())], schema=_CELLS)
 
 
-def _filter_batch(names: list[str], tau: np.ndarray, prec: np.ndarray, known: dict):
-    """A grouped function: the message of a batch, given the product of all and the batches' last ones."""
-    d = len(names)
+def _summed(rows: DataFrame, run, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape)
+    for r in rows.mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        b = int(key[0])
-        own = known.get(b, (np.zeros(d), np.zeros(d)))
-        start = tau - own[0], np.maximum(prec - own[1], 1e-9)
-        frame = frame.sort_values([*names[:-1], "y"])
-        after = filtered(frame[names].to_numpy(), np.where(frame["y"] > 0, 1.0, -1.0), *start)
-        return pd.DataFrame({"batch": [b] * d, "k": range(d), "tau": after[0] - start[0], "prec": np.maximum(after[1] - start[1], 0)})
 
-    return run
+def _prepared(data: DataFrame, features: list[str], positive: Column) -> DataFrame:
+    return data.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"f{k}") for k, f in enumerate(features)], F.when(positive, 1.0).otherwise(-1.0).alias("y"))
 
 
-def train(data: DataFrame, features: list[str], label: str, batches: int = 8, sweeps: int = 2, prior_precision: float = 1.0) -> dict[str, tuple[float, float]]:
-    """Mean and variance of each weight, the bias under "bias".
+def fit(data: DataFrame, features: list[str], positive: Column, sweeps: int = 20, tolerance: float = 1e-6, prior: Weights | None = None, prior_variance: float = 1.0) -> Weights:
+    """Weights for the rows where ``positive`` holds against the others; null features are 0.
 
-    Rows fall into batches by a hash of their features; a batch's rows are filtered where they are,
-    and only its natural parameters (two numbers a weight) come back.
+    prior: the posterior of earlier data, for incremental training.  Ends after ``sweeps`` or once
+    no weight's mean moves by more than ``tolerance``.
     """
-    names = [*features, "bias"]
-    d = len(names)
-    prior = np.full(d, prior_precision)
-    rows = data.select(*[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("bias"), F.col(label).cast("double").alias("y"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64(*features, "y"), F.lit(batches)).cast("int"))
-    messages: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    n, d = len(features), len(features) + 1
+    rows = _prepared(data, features, positive)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            x = _matrix(batch, n)
+            total += x.T @ x
+        yield _cells(total)
+
+    start = np.zeros(d) if prior is None else prior.mean
+    precision = np.eye(d) / prior_variance if prior is None else np.linalg.inv(prior.covariance)
+    posterior = precision + _summed(rows, products, (d, d))
+    covariance = np.linalg.inv(posterior)
+    mean, evidence, moved = start, [], []
     for _ in range(sweeps):
-        tau = sum((m[0] for m in messages.values()), np.zeros(d))
-        prec = prior + sum((m[1] for m in messages.values()), np.zeros(d))
-        run = _filter_batch(names, tau, prec, dict(messages))
-        got = rows.groupBy("batch").applyInPandas(run, "batch int, k int, tau double, prec double").collect()
-        messages = {b: (np.zeros(d), np.zeros(d)) for b in {r["batch"] for r in got}}
-        for r in got:
-            messages[r["batch"]][0][r["k"]], messages[r["batch"]][1][r["k"]] = r["tau"], r["prec"]
-    tau = sum((m[0] for m in messages.values()), np.zeros(d))
-    prec = prior + sum((m[1] for m in messages.values()), np.zeros(d))
-    return {n: (float(t / p), float(1 / p)) for n, t, p in zip(names, tau, prec, strict=True)}
-
-
-def predict(data: DataFrame, weights: dict[str, tuple[float, float]], noise: float = 1.0) -> DataFrame:
+        now = mean
+
+        def scores(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((1, d + 1))
+            for batch in batches:
+                x, y = _matrix(batch, n), batch.column(n).to_numpy(zero_copy_only=False)
+                m = x @ now
+                log_cdf, slope = _log_cdf_and_ratio(y * m)
+                total[0, :d] += x.T @ (m + y * slope)
+                total[0, d] += log_cdf.sum()
+            yield _cells(total)
+
+        sums = _summed(rows, scores, (1, d + 1))[0]
+        away = now - start
+        evidence.append(float(sums[d] - away @ precision @ away / 2 + (np.linalg.slogdet(precision)[1] - np.linalg.slogdet(posterior)[1]) / 2))
+        mean = covariance @ (precision @ start + sums[:d])
+        moved.append(float(np.abs(mean - now).max()))
+        if moved[-1] < tolerance:
+            break
+    return Weights(list(features), mean, covariance, tuple(evidence), tuple(moved))
+
+
+def score(weights: Weights) -> Column:
+    """Probability of the positive label: the normal distribution function of mean over deviation of the noisy score."""
+    x = [*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in weights.features], F.lit(1.0)]
+    mean = sum((c * float(m) for c, m in zip(x, weights.mean, strict=True)), F.lit(0.0))
+    variance = F.lit(1.0)
+    for i, a in enumerate(x):
+        for j in range(i, len(x)):
+            variance = variance + a * x[j] * float(weights.covariance[i, j] * (1 if i == j else 2))
+    return bound(mean / F.sqrt(variance), normal_cdf)
+
+
+def train(data: DataFrame, features: list[str], label: str, sweeps: int = 20, **options) -> Weights:
+    """A binary classifier of a label of 0 and 1, or false and true."""
+    return fit(data, features, F.col(label).cast("int") == 1, sweeps, **options)
+
+
+def predict(data: DataFrame, weights: Weights) -> DataFrame:
     """data with p, the probability of the positive label."""
-    from ..functions.scalar import normal_cdf
+    return data.withColumn("p", score(weights))
 
-    mean, var = F.lit(weights["bias"][0]), F.lit(weights["bias"][1] + noise)
-    for f, (m, v) in weights.items():
-        if f != "bias":
-            mean, var = mean + F.col(f) * m, var + F.col(f) * F.col(f) * v
-    return data.withColumn("p", normal_cdf(mean / F.sqrt(var)))
 
+def train_multiclass(data: DataFrame, features: list[str], label: str, labels: list, sweeps: int = 20, prior: dict | None = None) -> dict:
+    """A classifier for each of the labels against the rest."""
+    return {v: fit(data, features, F.col(label) == F.lit(v), sweeps, prior=None if prior is None else prior[v]) for v in labels}
+
+
+def predict_multiclass(data: DataFrame, models: dict) -> DataFrame:
+    """data with p, a map of the labels' probabilities, and predicted, the likeliest (ties to the first)."""
+    labels = list(models)
+    raw = F.array(*[score(models[v]) for v in labels])
+    each = data.withColumn("_raw", raw)
+    share = F.transform("_raw", lambda x: x / F.aggregate("_raw", F.lit(0.0), lambda s, v: s + v))
+    names = F.array(*[F.lit(v) for v in labels])
+    best = F.element_at(names, F.array_position("_raw", F.array_max("_raw")).cast("int"))
+    return each.withColumns({"p": F.map_from_arrays(names, share), "predicted": best}).drop("_raw")
 
-def cross_validation_folds(data: DataFrame, row: str, folds: int) -> DataFrame:
-    """data with fold: contiguous by row number in the order of ``row``; the last takes the rest."""
-    n = data.count()
-    numbered = _ranked(data, row)
-    return numbered.withColumn("fold", F.least(F.floor(F.col("r") / max(1, n // folds)), F.lit(folds - 1)).cast("int")).drop("r")
 
+def sample_weights(weights: Weights, n: int, seed: int = 0) -> np.ndarray:
+    """n draws of the weights from their posterior."""
+    return np.random.default_rng(seed).multivariate_normal(weights.mean, weights.covariance, n)
 
-def _ranked(data: DataFrame, row: str) -> DataFrame:
-    """Row numbers without one window over all rows: ranges are sorted apart and offset by their counts."""
-    from pyspark.sql import Window
 
-    parts = data.repartitionByRange(row).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("c"))
-    offsets = sizes.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.withColumn("k", F.row_number().over(w.orderBy(row)) - 1).join(offsets.select("part", "base"), "part").withColumn("r", F.col("k") + F.col("base")).drop("k", "base", "part")
+def numbered(data: DataFrame, order: list[str], number: str = "number", ranges: int = 256) -> DataFrame:
+    """data with row numbers from 0 in an order (the last column tells rows apart): ranks within value ranges of the first column, offset by the ranges' counts."""
+    first = order[0]
+    bounds = data.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 1000).alias("_bounds"))
+    at = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(first))), F.lit(-1))
+    each = data.join(F.broadcast(bounds)).withColumn("_range", F.when(F.col(first).isNull(), -1).otherwise(at)).drop("_bounds")  # one row
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = each.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return each.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(number, F.col("_base") + F.col("_place")).drop("_range", "_place", "_base")
+
+
+def cross_validation_folds(data: DataFrame, row: str, folds: int) -> DataFrame:
+    """data with fold: contiguous by row number in the order of ``row``; the last takes the rest."""
+    n = data.count()
+    return numbered(data, [row], "_number").withColumn("fold", F.least(F.floor(F.col("_number") / max(1, n // folds)), F.lit(folds - 1)).cast("int")).drop("_number")
+
+
+def cross_validate(data: DataFrame, features: list[str], label: str, row: str, folds: int, sweeps: int = 20) -> DataFrame:
+    """(fold, n, accuracy, negative_log_probability) of binary classifiers trained on the other folds."""
+    dealt = cross_validation_folds(data, row, folds).persist()
+    out = None
+    for k in range(folds):
+        weights = train(dealt.where(F.col("fold") != k), features, label, sweeps)
+        p, yes = F.col("p"), F.col(label).cast("int") == 1
+        right = F.when(yes, p).otherwise(F.lit(1.0) - p)
+        part = predict(dealt.where(F.col("fold") == k), weights).groupBy("fold").agg(
+            F.count("*").alias("n"), F.avg((right > 0.5).cast("double")).alias("accuracy"), F.avg(-F.log(right)).alias("negative_log_probability")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -42,14 +42,16 @@ def beta_bernoulli(data: DataFrame, keys: list[str], success: Column, a: float =
 def dirichlet_discrete(data: DataFrame, keys: list[str], value: str, prior: float = 1.0) -> DataFrame:
     """Posterior pseudo-counts of each value of a discrete variable by key.
 
-    The domain is the values of the whole table; a value unseen under a key keeps its prior count.
+    The domain is the values of the whole table; a value unseen under a key keeps its prior count,
+    so that the result has a row for every key and value.
     """
     counts = data.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    domain = counts.groupBy().agg(F.collect_set(value).alias("domain"))  # the domain's size, not the data's
-    per_key = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(value, "n"))).alias("seen"), F.sum("n").alias("total"))
-    wide = per_key.join(F.broadcast(domain)).select(*keys, "seen", "total", F.size("domain").alias("k"), F.explode("domain").alias(value))
-    pseudo = F.coalesce(F.try_element_at("seen", F.col(value)), F.lit(0)) + prior
-    return wide.select(*keys, value, pseudo.alias("pseudo_count"), (pseudo / (F.col("total") + F.col("k") * prior)).alias("mean"))
+    domain = counts.select(value).distinct()
+    size = domain.agg(F.count("*").alias("k"))  # one row
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total")).join(F.broadcast(size))
+    cells = totals.crossJoin(domain).join(counts, [*keys, value], "left")
+    pseudo = F.coalesce("n", F.lit(0)) + prior
+    return cells.select(*keys, value, pseudo.alias("pseudo_count"), (pseudo / (F.col("total") + F.col("k") * prior)).alias("mean"))
 
 
 def gamma_poisson(data: DataFrame, keys: list[str], count: Column, shape: float = 1.0, rate: float = 1.0) -> DataFrame:
@@ -70,3 +72,22 @@ def linear_regression(data: DataFrame, keys: list[str], x: Column, y: Column, pr
     t0, t1 = F.col("sy") / v, F.col("sxy") / v
     det = p00 * p11 - p01 * p01
     return s.select(*keys, "n", ((p11 * t0 - p01 * t1) / det).alias("intercept"), ((p00 * t1 - p01 * t0) / det).alias("slope"))
+
+
+def gaussian_wishart2(data: DataFrame, keys: list[str], x: Column, y: Column, strength: float = 1.0, dof: float = 4.0) -> DataFrame:
+    """Posterior of mean and precision of two dimensions under a normal-Wishart prior of mean 0 and unit scale.
+
+    (mean_x, mean_y, precision_xx, precision_xy, log_det): the expected precision is the posterior
+    degrees of freedom times the inverse of the scatter about the prior mean; log_det is the
+    scatter's.
+    """
+    s = data.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"))
+    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
+    share = n * strength / (n + strength)
+    s = s.withColumns({"s11": n * F.col("xx") + share * mx * mx + 1.0, "s12": n * F.col("xy") + share * mx * my, "s22": n * F.col("yy") + share * my * my + 1.0})
+    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    scale = (n + dof) / det
+    return s.select(
+        *keys, (n * mx / (n + strength)).alias("mean_x"), (n * my / (n + strength)).alias("mean_y"),
+        (scale * F.col("s22")).alias("precision_xx"), (-scale * F.col("s12")).alias("precision_xy"), F.log(det).alias("log_det"),
+    )

@@ -2,51 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normal_cdf, normal_pdf
-
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+from ..functions.scalar import bound, normal_cdf, normal_pdf
+from ..functions.special import normal_cdf_ln, normal_cdf_ratio
 
 
 def truncated_moments(mean: Column, variance: Column, lower: float | None = None, upper: float | None = None) -> Column:
-    """Struct of the probability that a Gaussian lies between the bounds, and its mean and variance given that.
+    """Struct of the probability that a Gaussian lies between the bounds, its logarithm, and its mean and variance given that.
 
-    None is no bound.  Mean and variance are null where the probability underflows to zero.
+    None is no bound.  Bounds far in a tail are worked out relative to the density at the nearer
+    one, so that mean and variance hold where the probability underflows.
     """
-    zero, one = F.lit(0.0), F.lit(1.0)
-
-    def parts(g: Column) -> Column:
-        a = None if lower is None else g["a"]
-        b = None if upper is None else g["b"]
-        # Upper tails keep their digits where both bounds lie above the mean.
-        above = (one if a is None else normal_cdf(-a)) - (zero if b is None else normal_cdf(-b))
-        below = (one if b is None else normal_cdf(b)) - (zero if a is None else normal_cdf(a))
-        pa, pb = (zero if c is None else normal_pdf(c) for c in (a, b))
-        bend = (zero if a is None else a * pa) - (zero if b is None else b * pb)
-        p = below if a is None else above if b is None else F.when(a > 0, above).otherwise(below)
-        return F.struct(p.alias("p"), (pa - pb).alias("shift"), bend.alias("bend"), g["m"].alias("m"), g["sd"].alias("sd"))
-
-    def moments(t: Column) -> Column:
-        z = F.when(t["p"] > 0, t["p"])
-        shift = t["shift"] / z
-        spread = one + t["bend"] / z - shift * shift
-        return F.struct(t["p"].alias("probability"), (t["m"] + t["sd"] * shift).alias("mean"), (t["sd"] * t["sd"] * spread).alias("variance"))
-
     sd = F.sqrt(variance)
-    scaled = [((F.lit(float(bound or 0.0)) - mean) / sd).alias(n) for n, bound in (("a", lower), ("b", upper))]
-    return _bound(F.struct(*scaled, mean.alias("m"), sd.alias("sd")), lambda g: _bound(parts(g), moments))
+    one, zero = F.lit(1.0), F.lit(0.0)
+
+    def result(log_p: Column, shift: Column, spread: Column, sign: Column | None = None) -> Column:
+        moved = sd * shift if sign is None else sd * shift * sign
+        return F.struct(F.exp(log_p).alias("probability"), log_p.alias("log_probability"), (mean + moved).alias("mean"), (sd * sd * spread).alias("variance"))
+
+    def half_line(a: Column, sign: float) -> Column:
+        """Above a, in standard units."""
+        slope = one / normal_cdf_ratio(-a)
+        return bound(slope, lambda s: result(normal_cdf_ln(-a), s, one - s * (s - a), F.lit(sign)))
+
+    def between(g: Column) -> Column:
+        def tail(a: Column, b: Column, sign: float) -> Column:  # 0 < a < b
+            e = F.exp((a - b) * (a + b) / 2.0)
+            z = normal_cdf_ratio(-a) - e * normal_cdf_ratio(-b)
+            log_p = F.log(z) - a * a / 2.0 - 0.5 * math.log(2 * math.pi)
+            return bound(F.struct(z.alias("z"), e.alias("e")), lambda t: result(log_p, (one - t["e"]) / t["z"], one + (a - b * t["e"]) / t["z"] - F.pow((one - t["e"]) / t["z"], F.lit(2.0)), F.lit(sign)))
+
+        def middle(a: Column, b: Column) -> Column:
+            p = normal_cdf(b) - normal_cdf(a)
+            pa, pb = normal_pdf(a), normal_pdf(b)
+            return bound(F.struct(p.alias("p"), pa.alias("pa"), pb.alias("pb")), lambda t: result(
+                F.log(t["p"]), (t["pa"] - t["pb"]) / t["p"], one + (a * t["pa"] - b * t["pb"]) / t["p"] - F.pow((t["pa"] - t["pb"]) / t["p"], F.lit(2.0)), one))
+
+        return F.when(g["a"] > 0, tail(g["a"], g["b"], 1.0)).when(g["b"] < 0, tail(-g["b"], -g["a"], -1.0)).otherwise(middle(g["a"], g["b"]))
+
+    if lower is None and upper is None:
+        return F.struct(one.alias("probability"), zero.alias("log_probability"), mean.alias("mean"), variance.alias("variance"))
+    if upper is None:
+        return bound((F.lit(float(lower)) - mean) / sd, lambda a: half_line(a, 1.0))
+    if lower is None:
+        return bound((mean - float(upper)) / sd, lambda a: half_line(a, -1.0))
+    return bound(F.struct(((F.lit(float(lower)) - mean) / sd).alias("a"), ((F.lit(float(upper)) - mean) / sd).alias("b")), between)
 
 
 def greater_probability(m1: Column, v1: Column, m2: Column, v2: Column) -> Column:
     """Probability that the first of two independent Gaussians is the greater."""
-    return _bound((m1 - m2) / F.sqrt(v1 + v2), normal_cdf)
+    return bound((m1 - m2) / F.sqrt(v1 + v2), normal_cdf)
 
 
 def maximum_moments(m1: Column, v1: Column, m2: Column, v2: Column) -> Column:
@@ -61,7 +70,7 @@ def maximum_moments(m1: Column, v1: Column, m2: Column, v2: Column) -> Column:
         square = (m1 * m1 + v1) * w["first"] + (m2 * m2 + v2) * w["second"] + (m1 + m2) * spread
         return F.struct(mean.alias("mean"), (square - mean * mean).alias("variance"))
 
-    return _bound((m1 - m2) / F.sqrt(v1 + v2), lambda z: _bound(weights(z), moments))
+    return bound((m1 - m2) / F.sqrt(v1 + v2), lambda z: bound(weights(z), moments))
 
 
 def linear_moments(terms: list[tuple[float, Column, Column]]) -> dict[str, Column]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import softmax_over
+from ..functions.special import index_of_maximum, softmax
 
 
 def gather(values: DataFrame, index: DataFrame, on: str) -> DataFrame:
@@ -13,17 +15,24 @@ def gather(values: DataFrame, index: DataFrame, on: str) -> DataFrame:
     return index.join(values, on)
 
 
+def _scores(x: Column, components: list[tuple[float, float, float]]) -> Column:
+    """The array of each component's log weight times its density at x, but for a constant."""
+    return F.array(*[F.lit(math.log(w) - math.log(v) / 2) - (x - float(m)) * (x - float(m)) / (2.0 * v) for w, m, v in components])
+
+
 def mixture_gate(data: DataFrame, row: str, x: Column, components: list[tuple[float, float, float]]) -> DataFrame:
-    """A gate with a random condition: the posterior of the case for each row.
+    """A gate with a random condition: the posterior of the case for each row, worked out inside the row.
 
     components: (weight, mean, variance) of Gaussian cases.
     """
-    cases = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w"), F.lit(float(m)).alias("m"), F.lit(float(v)).alias("v")) for k, (w, m, v) in enumerate(components)])
-    each = data.select(row, x.alias("x"), F.explode(cases).alias("c"))
-    score = F.log("c.w") - F.log("c.v") / 2.0 - F.pow(F.col("x") - F.col("c.m"), F.lit(2.0)) / (F.col("c.v") * 2.0)
-    return each.select(row, "x", F.col("c.k").alias("component"), score.alias("score")).select(
-        row, "x", "component", softmax_over(F.col("score"), Window.partitionBy(row)).alias("responsibility")
-    )
+    each = data.select(row, x.alias("x"), F.posexplode(softmax(_scores(x, components))).alias("component", "responsibility"))
+    return each.select(row, "x", "component", "responsibility")
+
+
+def best_component(data: DataFrame, row: str, x: Column, components: list[tuple[float, float, float]]) -> DataFrame:
+    """The case of the highest score for each row, ties to the first."""
+    scores = data.select(row, _scores(x, components).alias("s"))
+    return scores.select(row, index_of_maximum(F.col("s")).cast("int").alias("component"), F.array_max("s").alias("score"))
 
 
 def forward(data: DataFrame, series: str, order: list[str], likelihood: list[Column], transition: list[list[float]], prior: list[float]) -> DataFrame:

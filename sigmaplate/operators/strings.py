@@ -18,9 +18,10 @@ def support(data: DataFrame, key: str, value: str) -> DataFrame:
 def product(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """The normalised product of two distributions (value, logp): the intersection of supports."""
     both = a.select(value, F.col("logp").alias("x")).join(b.select(value, F.col("logp").alias("y")), value)
-    both = both.withColumn("logp", F.col("x") + F.col("y"))
-    total = both.agg(F.max("logp").alias("top"), F.sum(F.exp("logp")).alias("z"))  # one row
-    return both.join(F.broadcast(total)).select(value, (F.col("logp") - F.log("z")).alias("logp"))
+    both = both.select(value, (F.col("x") + F.col("y")).alias("logp"))
+    shifted = both.join(F.broadcast(both.agg(F.max("logp").alias("top"))))  # one row
+    total = shifted.agg((F.first("top") + F.log(F.sum(F.exp(F.col("logp") - F.col("top"))))).alias("z"))  # one row
+    return both.join(F.broadcast(total)).select(value, (F.col("logp") - F.col("z")).alias("logp"))
 
 
 def character_bigrams(data: DataFrame, text: str) -> DataFrame:

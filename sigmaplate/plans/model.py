@@ -1,7 +1,7 @@
 """Declared models over plates of data, lowered to joins, projections and grouped sums.
 
 A model names Gaussian variables over plates (key columns of the data), a noise variance and the sum
-of which variables each observation is.  ``infer`` runs parallel sweeps: each variable's posterior
+of which variables each observation is.  ``posteriors`` runs sweeps: each variable's posterior
 is its prior times the grouped product of messages, a message being the observation less the other
 variables' means, with their variances added to the noise.
 """
@@ -34,11 +34,12 @@ class SumModel:
         self.variables.append(Variable(name, plate, mean, variance))
         return self
 
-    def infer(self, data: DataFrame, sweeps: int = 3) -> dict[str, DataFrame]:
+    def posteriors(self, data: DataFrame, sweeps: int = 3) -> dict[str, DataFrame]:
         """Posterior (plate, mean, variance) of each variable.
 
         Variables are updated in their order, each from the latest means of the others; one shuffle
-        of the data for each update.
+        of the data for each update.  A variable's belief is cached, as the next updates read it, so
+        that a plan doesn't grow with the sweeps before it.
         """
         beliefs = {
             v.name: data.select(v.plate).distinct().select(v.plate, F.lit(v.prior_mean).alias("mean"), F.lit(v.prior_variance).alias("variance"))
@@ -53,7 +54,6 @@ class SumModel:
                         rows, residual = rows.join(b, other.plate), residual - F.col(f"{other.name}_mean")
                 s = rows.groupBy(v.plate).agg(F.count("*").alias("n"), F.sum(residual).alias("s"))
                 prec = F.lit(1 / v.prior_variance) + F.col("n") / self.noise_variance
-                beliefs[v.name] = s.select(
-                    v.plate, ((F.lit(v.prior_mean / v.prior_variance) + F.col("s") / self.noise_variance) / prec).alias("mean"), (F.lit(1.0) / prec).alias("variance")
-                )
+                mean = (F.lit(v.prior_mean / v.prior_variance) + F.col("s") / self.noise_variance) / prec
+                beliefs[v.name] = s.select(v.plate, mean.alias("mean"), (F.lit(1.0) / prec).alias("variance")).persist()
         return beliefs

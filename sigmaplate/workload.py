@@ -182,31 +182,18 @@ def conditional_probability_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(messages.conditional_table(li, ["l_returnflag", "l_linestatus"], "l_shipmode", 1.0, 7))
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
-def chain_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return _chain(spark, d).select("user_id", "n")
-
-
 def _chain(spark: SparkSession, d: str) -> DataFrame:
     high = F.col("value") > 50
     like = [F.when(high, 0.2).otherwise(0.8), F.when(high, 0.7).otherwise(0.3)]
     return messages.forward(table(spark, d, "events"), "user_id", ["ts", "event_id"], like, [[0.9, 0.1], [0.2, 0.8]], [0.6, 0.4])
 
 
-@query()
-def hidden_markov_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _chain(spark, d).select("user_id", "n", F.round(F.col("p")[1], 6).alias("p1"), F.round("log_evidence", 4).alias("log_evidence"))
-
-
 @query("""
 SELECT event_id, arg_max(component, (s, -component)) AS component, round(max(s), 6) AS score
 FROM (SELECT event_id, component, ln(w) - ln(v)/2 - (value-m)**2/(2*v) AS s FROM events CROSS JOIN (VALUES (0, 0.5, 20.0, 50.0), (1, 0.3, 50.0, 100.0), (2, 0.2, 80.0, 30.0)) c(component, w, m, v)) GROUP BY event_id
 """)
 def max_sum_component(spark: SparkSession, d: str) -> DataFrame:
-    cases = F.array(*[F.struct(F.lit(k).alias("component"), F.lit(w).alias("w"), F.lit(m).alias("m"), F.lit(v).alias("v")) for k, (w, m, v) in enumerate(_COMPONENTS)])
-    each = table(spark, d, "events").select("event_id", "value", F.explode(cases).alias("c")).select("event_id", "value", "c.*")
-    score = F.log("w") - F.log("v") / 2.0 - F.pow(F.col("value") - F.col("m"), F.lit(2.0)) / (F.col("v") * 2.0)
-    return rounded(messages.max_sum(each, "event_id", "component", score))
+    return rounded(messages.best_component(table(spark, d, "events"), "event_id", F.col("value"), _COMPONENTS))
 
 
 # Scalar mathematics
@@ -229,12 +216,6 @@ def softmax_by_user(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(p, 6).alias("p"))
 
 
-@query()
-def normal_distribution(spark: SparkSession, d: str) -> DataFrame:
-    x = (F.col("value") - 50.0) / 25.0
-    return rounded(table(spark, d, "events").select("event_id", scalar.normal_cdf(x).alias("cdf"), scalar.normal_pdf(x).alias("pdf"), scalar.digamma(F.abs(x) + 0.1).alias("digamma")))
-
-
 @query("""
 SELECT p_partkey, round(lgamma(50.0 + 1) - lgamma(p_size::DOUBLE + 1) - lgamma(51.0 - p_size), 6) AS choose, round(lgamma(p_size + 3.5) - lgamma(p_size::DOUBLE), 6) AS rising,
        round(-ln(1 + exp(-(p_size - 25.0)/5)), 6) AS logistic_log, round(ln(exp(p_size/10.0::DOUBLE) - 1), 6) AS expm1_log FROM part
@@ -269,25 +250,6 @@ def linear_factor(spark: SparkSession, d: str) -> DataFrame:
     return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in got.items()]))
 
 
-@query()
-def truncated_gaussian(spark: SparkSession, d: str) -> DataFrame:
-    got = factors.truncated_moments((F.col("value") - 50.0) / 10.0, F.lit(4.0), 0.0, 5.0)
-    return rounded(table(spark, d, "events").select("event_id", got.alias("t")).select("event_id", "t.*"))
-
-
-@query()
-def greater_and_maximum(spark: SparkSession, d: str) -> DataFrame:
-    args = (F.col("l_quantity").cast("double"), F.lit(9.0), F.col("l_extendedprice") / 1000.0, F.lit(16.0))
-    both = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", factors.greater_probability(*args).alias("greater"), factors.maximum_moments(*args).alias("t"))
-    return rounded(both.select("l_orderkey", "l_linenumber", "greater", "t.*"))
-
-
-@query()
-def normal_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    p = (F.col("p_size") - 0.5) / 50.0
-    return rounded(table(spark, d, "part").select("p_partkey", scalar.normal_cdf_inverse(p).alias("quantile"), scalar.trigamma(F.col("p_size") / 10.0).alias("trigamma")))
-
-
 # Estimators
 
 
@@ -331,15 +293,6 @@ def discrete_estimator(spark: SparkSession, d: str) -> DataFrame:
     return rounded(estimators.histogram(table(spark, d, "documents").select("source", "lang"), ["source"], F.col("lang")))
 
 
-@query("""
-SELECT label, i, j, round(covar_pop(x, y), 6) AS covariance FROM (
-  SELECT e.label, a.i, b.i AS j, e.embedding[a.i+1]::DOUBLE AS x, e.embedding[b.i+1]::DOUBLE AS y
-  FROM embeddings e, (SELECT unnest(range(0, 4))::INT AS i) a, (SELECT unnest(range(0, 4))::INT AS i) b WHERE a.i <= b.i) GROUP BY 1, 2, 3
-""")
-def vector_covariance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(estimators.covariance(table(spark, d, "embeddings"), ["label"], "embedding", 4))
-
-
 @query("""
 WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, p, value AS quantile FROM s CROSS JOIN (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) q(p) WHERE k = least(floor(p*n), n - 1)
@@ -389,20 +342,24 @@ def auc_by_language(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.area_under_roc(_scored(spark, d), ["lang"], F.col("positive"), F.col("score")))
 
 
-_CURVE = f"""
-WITH g AS (SELECT score, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM ({_SCORED}) GROUP BY 1),
-c AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS P, sum(n) OVER () AS N FROM g WINDOW w AS (ORDER BY score DESC))
-"""
-
-
-@query(_CURVE.replace("AS P,", "AS pp,").replace("AS N FROM", "AS nn FROM") + "SELECT round(score, 6) AS score, round(fp/nn, 6) AS fpr, round(tp/pp, 6) AS tpr FROM c")
+@query(f"""
+WITH s AS ({_SCORED}), t AS (SELECT count(*) FILTER (positive) AS pp, count(*) FILTER (NOT positive) AS nn FROM s),
+cuts AS (SELECT DISTINCT score FROM s UNION ALL SELECT NULL)
+SELECT round(c.score, 6) AS score, round(count(s.doc_id) FILTER (NOT positive)/any_value(nn), 6) AS fpr, round(count(s.doc_id) FILTER (positive)/any_value(pp), 6) AS tpr
+FROM cuts c CROSS JOIN t LEFT JOIN s ON s.score >= c.score GROUP BY c.score
+""")
 def roc_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.roc_curve(_scored(spark, d), [], F.col("positive"), F.col("score")))
 
 
-@query(_CURVE.replace("AS P,", "AS pp,").replace("AS N FROM", "AS nn FROM") + "SELECT round(score, 6) AS score, round(tp/(tp+fp), 6) AS precision, round(tp/pp, 6) AS recall FROM c")
+@query(f"""
+WITH s AS ({_SCORED}), r AS (
+  SELECT score, doc_id AS tie, count(*) FILTER (positive) OVER w AS hits, count(*) OVER w AS taken, count(*) FILTER (positive) OVER () AS pp
+  FROM s WINDOW w AS (ORDER BY score DESC, doc_id % 64, doc_id ROWS UNBOUNDED PRECEDING))
+SELECT round(score, 6) AS score, tie, round(hits/taken, 6) AS precision, round(hits/pp, 6) AS recall FROM r UNION ALL SELECT NULL, NULL, 1.0, 0.0
+""")
 def precision_recall_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.precision_recall_curve(_scored(spark, d), [], F.col("positive"), F.col("score")))
+    return rounded(metrics.precision_recall_curve(_scored(spark, d), [], F.col("positive"), F.col("score"), F.col("doc_id")))
 
 
 _GUESS = "SELECT lang AS truth, CASE WHEN n_chars % 7 = 0 THEN 'de' WHEN n_chars % 11 = 0 THEN 'es' ELSE lang END AS predicted FROM documents"
@@ -451,30 +408,28 @@ def negative_log_probability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.negative_log_probability(_scored(spark, d), ["lang"], F.col("positive"), F.col("score") * 0.98 + 0.01))
 
 
-_HT = "SELECT lang, CASE lang WHEN 'en' THEN 3 ELSE 1 END + n_chars % 13 AS en, CASE lang WHEN 'de' THEN 4 ELSE 1 END + n_chars % 11 AS de, CASE lang WHEN 'fr' THEN 5 ELSE 1 END + n_chars % 7 AS fr FROM documents"
+_HT = "SELECT lang, CASE lang WHEN 'en' THEN 3 ELSE 1 END + n_chars % 13 AS en, CASE lang WHEN 'de' THEN 4 ELSE 1 END + n_chars % 11 AS de, CASE lang WHEN 'fr' THEN 5 ELSE 1 END + n_chars % 7 AS fr, CASE lang WHEN 'es' THEN 6 ELSE 1 END + n_chars % 5 AS es FROM documents"
+_LANGS = {"en": (3, 13), "de": (4, 11), "fr": (5, 7), "es": (6, 5)}
+_PAIRS = " UNION ALL ".join(f"SELECT lang, '{a}' AS a, '{b}' AS b, {a}/({a}+{b}) AS s FROM d" for a in _LANGS for b in _LANGS if a != b)
 
 
 @query(f"""
-WITH d AS ({_HT}),
-p AS (SELECT a || '|' || b AS pair, lang = a AS yes, s FROM (
-  SELECT lang, 'en' AS a, 'de' AS b, en/(en+de) AS s FROM d UNION ALL SELECT lang, 'de', 'en', de/(en+de) FROM d UNION ALL SELECT lang, 'en', 'fr', en/(en+fr) FROM d
-  UNION ALL SELECT lang, 'fr', 'en', fr/(en+fr) FROM d UNION ALL SELECT lang, 'de', 'fr', de/(de+fr) FROM d UNION ALL SELECT lang, 'fr', 'de', fr/(de+fr) FROM d) WHERE lang IN (a, b)),
-g AS (SELECT pair, s, count(*) FILTER (yes) AS p, count(*) FILTER (NOT yes) AS n FROM p GROUP BY 1, 2),
-c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY pair ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tp FROM g),
-u AS (SELECT pair, sum(n*(tp + p/2.0::DOUBLE))/(sum(p)*sum(n)) AS auc FROM c GROUP BY 1)
-SELECT round(avg(auc), 6) AS m_measure FROM u
+WITH d AS ({_HT}), p AS (SELECT a || '|' || b AS pair, lang = a AS yes, s FROM ({_PAIRS}) WHERE lang IN (a, b)),
+u AS (SELECT x.pair, sum(CASE WHEN x.s > y.s THEN 1.0 WHEN x.s = y.s THEN 0.5 ELSE 0.0 END)/count(*) AS auc
+      FROM (SELECT * FROM p WHERE yes) x JOIN (SELECT * FROM p WHERE NOT yes) y USING (pair) GROUP BY 1)
+SELECT round(sum(auc)/12, 6) AS m_measure FROM u
 """)
 def multiclass_auc(spark: SparkSession, d: str) -> DataFrame:
     n, lang = F.col("n_chars"), F.col("lang")
-    score = {a: (F.when(lang == a, w).otherwise(1) + n % k).cast("double") for a, w, k in (("en", 3, 13), ("de", 4, 11), ("fr", 5, 7))}
+    score = {a: (F.when(lang == a, w).otherwise(1) + n % k).cast("double") for a, (w, k) in _LANGS.items()}
     return rounded(metrics.hand_till(table(spark, d, "documents").select("lang", "n_chars"), "lang", score))
 
 
-_LISTS = "SELECT o_custkey AS usr, o_orderkey AS item, (o_orderkey*31 + o_custkey*17) % 6 AS gain FROM orders"
+_LISTS = "SELECT o_custkey AS usr, o_orderkey AS item, ((o_orderkey*31 + o_custkey*17) % 61)/4.0::DOUBLE AS gain FROM orders"
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("usr"), F.col("o_orderkey").alias("item"), ((F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % 6).alias("gain"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("usr"), F.col("o_orderkey").alias("item"), (((F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % 61) / 4.0).alias("gain"))
 
 
 def _ndcg(discount: str) -> str:
@@ -532,22 +487,16 @@ _H = "((({}) * 2654435761) % 4294967296)"
 
 
 @query(f"""
-WITH r AS ({_RATINGS}), w AS (SELECT *, {_H.format("item+1")}/4294967296.0::DOUBLE >= 0.1 AS warm, {_H.format("usr+2")}/4294967296.0::DOUBLE AS u FROM r),
-k AS (SELECT *, row_number() OVER (PARTITION BY usr, warm ORDER BY {_H.format("item*7919+usr+3")}, item) AS place, count(*) OVER (PARTITION BY usr, warm) AS n FROM w)
-SELECT usr AS "user", item, rating, CASE WHEN NOT warm THEN 'test' WHEN u < 0.05 THEN 'test' WHEN u < 0.05 + 0.5 THEN 'train' WHEN place <= greatest(1, floor(n*0.75::DOUBLE)) THEN 'train' ELSE 'test' END AS fold FROM k
+WITH r AS ({_RATINGS}), i AS (SELECT item, row_number() OVER (ORDER BY {_H.format("item+1")}, item) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT item FROM r)),
+u AS (SELECT usr, row_number() OVER (ORDER BY {_H.format("usr+2")}, usr) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT usr FROM r)),
+w AS (SELECT r.*, CASE WHEN i.p < round_even(i.n*0.1, 0) THEN 'test' WHEN i.p < round_even(i.n*0.15, 0) THEN 'out' ELSE 'warm' END AS fi,
+  CASE WHEN u.p < round_even(u.n*0.05, 0) THEN 'test' WHEN u.p < round_even(u.n*0.55, 0) THEN 'train' WHEN u.p < round_even(u.n*0.65, 0) THEN 'out' ELSE 'warm' END AS fu FROM r JOIN i USING (item) JOIN u ON u.usr = r.usr),
+k AS (SELECT *, row_number() OVER (PARTITION BY usr, fi ORDER BY {_H.format("item*7919+usr+3")}, item) AS place, count(*) OVER (PARTITION BY usr, fi) AS n FROM w),
+f AS (SELECT usr AS "user", item, rating, CASE WHEN fi <> 'warm' THEN fi WHEN fu <> 'warm' THEN fu WHEN place <= greatest(1, floor(n*0.75::DOUBLE)) THEN 'train' ELSE 'test' END AS fold FROM k)
+SELECT * FROM f WHERE fold <> 'out'
 """)
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
-    return recommender.split(_ratings(spark, d), 0.1, 0.05, 0.5, 0.75)
-
-
-@query(f"""
-WITH r AS ({_RATINGS}), top AS (SELECT item FROM r GROUP BY item ORDER BY count(*) DESC, item LIMIT 50),
-c AS (SELECT usr, top.item FROM (SELECT DISTINCT usr FROM r) CROSS JOIN top WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.usr = r.usr AND x.item = top.item)),
-k AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY {_H.format("item*7919+usr+4")}, item) AS place FROM c)
-SELECT usr AS "user", item FROM k WHERE place <= 3
-""".replace("FROM (SELECT DISTINCT usr FROM r) CROSS JOIN top", "FROM (SELECT DISTINCT usr FROM r) r CROSS JOIN top").replace("(SELECT 1 FROM r x", f"(SELECT 1 FROM ({_RATINGS}) x"))
-def negative_samples(spark: SparkSession, d: str) -> DataFrame:
-    return recommender.popular_negatives(_ratings(spark, d), 3, 50)
+    return recommender.split(_ratings(spark, d), 0.1, 0.05, 0.5, 0.75, 0.05, 0.1)
 
 
 @query()
@@ -607,9 +556,9 @@ def most_active_users(spark: SparkSession, d: str) -> DataFrame:
     return relational.most_active(table(spark, d, "orders"), "o_custkey", 100)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def users_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").where("o_totalprice > 450000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
@@ -693,21 +642,18 @@ def character_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT vec_id AS i, unnest(range(0, 4))::INT AS j, unnest(embedding[1:4])::DOUBLE AS v FROM embeddings)
-SELECT a.j AS i, b.j AS j, round(sum(a.v*b.v), 4) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2
+WITH m AS (SELECT label, vec_id, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT a.label, a.i, b.i AS j, round(covar_pop(a.v, b.v), 6) AS covariance FROM m a JOIN m b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3
 """)
-def matrix_product(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("j", "v")).select(F.col("vec_id").alias("i"), "j", F.col("v").cast("double").alias("v"))
-    return rounded(linear_algebra.multiply(m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), m), 4)
-
-
-@query()
-def vector_covariance_whole(spark: SparkSession, d: str) -> DataFrame:
+def vector_covariance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(linear_algebra.covariances(table(spark, d, "embeddings"), "label", "embedding"))
 
 
-@query()
-def matrix_product_whole(spark: SparkSession, d: str) -> DataFrame:
+@query("""
+WITH m AS (SELECT vec_id AS i, unnest(range(0, len(embedding)))::INT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT a.j AS i, b.j AS j, round(sum(a.v*b.v), 4) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2
+""")
+def matrix_product(spark: SparkSession, d: str) -> DataFrame:
     return rounded(linear_algebra.gram(table(spark, d, "embeddings"), "embedding"), 4)
 
 
@@ -769,7 +715,7 @@ SELECT f AS l_returnflag, round((sum(y - s1.m)/4.0)/(1 + count(*)/4.0), 6) AS me
 def declared_sum_model(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") / 10.0).alias("y"))
     model = SumModel("y", 4.0).gaussian("flag", "l_returnflag").gaussian("status", "l_linestatus")
-    got = model.infer(li, sweeps=2)["flag"]
+    got = model.posteriors(li, sweeps=2)["flag"]
     return got.select("l_returnflag", F.round("mean", 6).alias("mean"), F.round("variance", 9).alias("variance"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmaplate import workload
+from sigmaplate import factor_queries, workload  # noqa: F401
 from sigmaplate.functions import scalar
 from sigmaplate.learners import classifier, mixture
 from sigmaplate.operators import linear_algebra, messages, metrics, recommender
@@ -104,10 +104,10 @@ def test_automata():
 def test_all_dimensions_count(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("label", "embedding").collect()
     x = np.array([r.embedding for r in rows], float)
-    got = workload.QUERIES["matrix_product_whole"](spark, small).collect()
+    got = workload.QUERIES["matrix_product"](spark, small).collect()
     product = x.T @ x
     assert len(got) == x.shape[1] ** 2 and all(r.v == pytest.approx(product[r.i, r.j], abs=1e-3) for r in got)
-    got = workload.QUERIES["vector_covariance_whole"](spark, small).collect()
+    got = workload.QUERIES["vector_covariance"](spark, small).collect()
     want = {label: np.cov(x[[r.label == label for r in rows]].T, bias=True) for label in {r.label for r in rows}}
     assert len(got) == len(want) * x.shape[1] * (x.shape[1] + 1) // 2
     assert all(r.covariance == pytest.approx(want[r.label][r.i, r.j], abs=2e-6) for r in got)
