@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..learners.classifier import numbered
+
 
 def most_active(data: DataFrame, key: str, top: int) -> DataFrame:
     """The keys with most rows, ties by key: a top-k of pre-aggregated counts."""
@@ -57,3 +59,29 @@ def hash_sample(data: DataFrame, key: Column, n: int) -> DataFrame:
     """n rows in a reproducible random order."""
     place = F.pmod(key * 2654435761, F.lit(4294967296))
     return data.withColumn("_place", place).orderBy("_place", key).limit(n).drop("_place")
+
+
+def intersection(tables: list[DataFrame]) -> DataFrame:
+    """Distinct rows that all tables have."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.intersect(t)
+    return out.distinct()
+
+
+def merged(tables: list[DataFrame], order: list[str]) -> DataFrame:
+    """All rows of tables, sorted in ranges."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def cartesian(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of rows; the result has the product of both sizes, so both should be small."""
+    return a.crossJoin(b)
+
+
+def indexed(data: DataFrame, key: str) -> DataFrame:
+    """(key, index): a number from 0 for each distinct key, in its order."""
+    return numbered(data.select(key).distinct(), [key], "index")

@@ -625,12 +625,11 @@ def string_distributions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), l AS (SELECT lang, source, ln(n / sum(n) OVER (PARTITION BY lang)) AS logp FROM c),
-j AS (SELECT a.source, a.logp + b.logp AS logp FROM l a JOIN l b USING (source) WHERE a.lang = 'en' AND b.lang = 'de')
-SELECT source, round(logp - ln(sum(exp(logp)) OVER ()), 6) AS logp FROM j
+j AS (SELECT a.lang AS a, b.lang AS b, a.source, a.logp + b.logp AS logp FROM l a JOIN l b ON a.source = b.source AND a.lang < b.lang)
+SELECT a, b, source, round(logp - ln(sum(exp(logp)) OVER (PARTITION BY a, b)), 6) AS logp FROM j
 """)
 def string_product(spark: SparkSession, d: str) -> DataFrame:
-    s = strings.support(table(spark, d, "documents").select("lang", "source"), "lang", "source")
-    return rounded(strings.product(s.where("lang = 'en'"), s.where("lang = 'de'"), "source"))
+    return rounded(strings.products(strings.support(table(spark, d, "documents").select("lang", "source"), "lang", "source"), "lang", "source"))
 
 
 @query("""
