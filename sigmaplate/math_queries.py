@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .factor_queries import sql_cdf, sql_pdf
 from .functions import scalar, special
-from .operators import numerics, samplers, strings
+from .operators import automata, numerics, samplers, strings
 from .workload import query, rounded, table
 
 
@@ -209,3 +209,31 @@ def neighbouring_doubles(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     around = special.average(special.next_double(F.col("value")), special.previous_double(F.col("value")))
     return e.select("event_id", F.round(scalar.logistic(F.col("value") / 40.3), 6).alias("logistic"), F.round(around, 9).alias("same"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT p_brand FROM part)
+SELECT p_brand, round(CASE WHEN regexp_full_match(p_brand, 'Brand#[0-9]+') THEN (length(p_brand) - 6)*ln(0.1) WHEN regexp_full_match(p_brand, '[A-Za-z]+') THEN 0 END, 6) AS log_value,
+       replace(p_brand, '#', ' no. ') AS written FROM p
+""")
+def automaton_values(spark: SparkSession, d: str) -> DataFrame:
+    a = automata
+    brand = a.Automaton.constant("Brand#") + a.Automaton.element(a.DIGITS, float(np.log(0.1))).repeat(1)
+    letters = a.Automaton.element(a.LETTERS).repeat(1)
+    spell = (a.Transducer.copying(a.Automaton.element(a.Chars.of("#").complement())) | a.Transducer.replace("#", " no. ")).repeat()
+    p = table(spark, d, "part").select("p_brand").distinct()
+    v = automata.values(F.col("p_brand"), brand | letters)
+    return p.select("p_brand", F.round(F.when(v > float("-inf"), v), 6).alias("log_value"), automata.written(F.col("p_brand"), spell)[0].alias("written"))
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT 0 AS n, '' AS value, 0.0::DOUBLE AS l UNION ALL SELECT n + 1, value || c, l + p FROM w, (VALUES ('a', ln(0.5)), ('b', ln(0.3)), ('c', ln(0.2))) x(c, p) WHERE n < 4)
+SELECT value, round(l, 6) AS log_value FROM w WHERE n >= 2 AND strpos(value, 'b') > 0
+""")
+def automaton_support(spark: SparkSession, d: str) -> DataFrame:
+    a = automata
+    letter = a.Automaton.element(a.Chars.of("a"), float(np.log(0.5))) | a.Automaton.element(a.Chars.of("b"), float(np.log(0.3))) | a.Automaton.element(a.Chars.of("c"), float(np.log(0.2)))
+    other = a.Automaton.element(a.Chars.of("b").complement()).repeat()
+    with_b = other + a.Automaton.constant("b") + a.Automaton.element(a.ANY).repeat()
+    rows = [(s, float(w)) for s, w in (letter.repeat(2, 4) * with_b).support()]
+    return rounded(spark.createDataFrame(rows, "value string, log_value double"))

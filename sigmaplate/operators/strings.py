@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,98 +99,3 @@ def character_distribution(data: DataFrame, keys: list[str], text: str) -> DataF
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("t"))
     both = counts.join(totals, keys) if keys else counts.join(F.broadcast(totals))  # one row
     return both.select(*keys, "character", "n", (F.col("n") / F.col("t")).alias("p"))
-
-
-@dataclass
-class Automaton:
-    """A weighted automaton: states with end log weights and arcs (from, characters, to, log weight).
-
-    An arc's characters are a predicate on one character; None stands for an arc without one.
-    """
-
-    ends: list[float] = field(default_factory=lambda: [-math.inf])
-    arcs: list[tuple[int, object, int, float]] = field(default_factory=list)
-
-    def state(self, end: float = -math.inf) -> int:
-        self.ends.append(end)
-        return len(self.ends) - 1
-
-    @staticmethod
-    def constant(text: str) -> Automaton:
-        a = Automaton()
-        at = 0
-        for ch in text:
-            to = a.state()
-            a.arcs.append((at, lambda c, ch=ch: c == ch, to, 0.0))
-            at = to
-        a.ends[at] = 0.0
-        return a
-
-    @staticmethod
-    def repeated(of, least: int = 0, most: int | None = None) -> Automaton:
-        """Strings of characters that satisfy ``of``, of a length between least and most."""
-        a = Automaton()
-        at = 0
-        a.ends[0] = 0.0 if least == 0 else -math.inf
-        for k in range(1, (most if most is not None else max(least, 1)) + 1):
-            to = a.state(0.0 if k >= least else -math.inf)
-            a.arcs.append((at, of, to, 0.0))
-            at = to
-        if most is None:
-            a.arcs.append((at, of, at, 0.0))
-        return a
-
-    def __add__(self, other: Automaton) -> Automaton:
-        """Concatenation."""
-        a = Automaton(list(self.ends), list(self.arcs))
-        base = len(a.ends)
-        a.ends += other.ends
-        a.arcs += [(s + base, of, t + base, w) for s, of, t, w in other.arcs]
-        for s, end in enumerate(self.ends):
-            if end > -math.inf:
-                a.arcs.append((s, None, base, end))
-                a.ends[s] = -math.inf
-        return a
-
-    def __or__(self, other: Automaton) -> Automaton:
-        """Sum of weights."""
-        a = Automaton()
-        for part in (self, other):
-            base = len(a.ends)
-            a.ends += part.ends
-            a.arcs += [(s + base, of, t + base, w) for s, of, t, w in part.arcs]
-            a.arcs.append((0, None, base, 0.0))
-        return a
-
-    def _closed(self, weights: dict[int, float]) -> dict[int, float]:
-        todo = list(weights)
-        out = dict(weights)
-        while todo:
-            s = todo.pop()
-            for f, of, t, w in self.arcs:
-                if f == s and of is None and t not in out:
-                    out[t] = out[s] + w
-                    todo.append(t)
-                elif f == s and of is None and t not in weights:
-                    out[t] = _add(out[t], out[s] + w)
-        return out
-
-    def log_value(self, text: str) -> float:
-        """ln of the total weight of all paths that read the text."""
-        at = self._closed({0: 0.0})
-        for ch in text:
-            new: dict[int, float] = {}
-            for f, of, t, w in self.arcs:
-                if of is not None and f in at and of(ch):
-                    new[t] = _add(new[t], at[f] + w) if t in new else at[f] + w
-            at = self._closed(new)
-        total = -math.inf
-        for s, w in at.items():
-            if self.ends[s] > -math.inf:
-                total = _add(total, w + self.ends[s])
-        return total
-
-
-def _add(a: float, b: float) -> float:
-    top = max(a, b)
-    return top if top == -math.inf else top + math.log(math.exp(a - top) + math.exp(b - top))

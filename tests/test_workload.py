@@ -11,7 +11,6 @@ from sigmaplate import factor_queries, math_queries, model_queries, workload  #
 from sigmaplate.functions import scalar
 from sigmaplate.learners import classifier, mixture
 from sigmaplate.operators import linear_algebra, messages, metrics, recommender
-from sigmaplate.operators.strings import Automaton
 from sigmaplate.sources import formats
 from sigmaplate.streaming import posterior
 
@@ -91,16 +90,6 @@ def test_gaussian_process_follows_data(spark):
     assert r[2.0].mean == pytest.approx(math.sin(2.0), abs=0.01) and r[30.0].variance == pytest.approx(1.0)
 
 
-def test_automata():
-    digits = Automaton.repeated(str.isdigit, 1, 3)
-    word = Automaton.constant("no ") + digits | Automaton.constant("none")
-    assert word.log_value("no 12") == 0.0 and word.log_value("none") == 0.0
-    assert word.log_value("no 1234") == -math.inf and word.log_value("no ") == -math.inf
-    twice = Automaton.constant("a") | Automaton.constant("a")
-    assert twice.log_value("a") == pytest.approx(math.log(2))
-    assert Automaton.repeated(str.isalpha).log_value("abcdefgh") == 0.0
-
-
 def test_all_dimensions_count(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("label", "embedding").collect()
     x = np.array([r.embedding for r in rows], float)
