@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_cdf
+from ..session import materialized
 
 
 @dataclass(frozen=True)
@@ -101,14 +102,15 @@ def train(ratings: DataFrame, settings: Settings | None = None, user_prior: Data
     """Fit (user, item, rating); ids are whole numbers or text.
 
     priors: (id, prior_bias, prior_traits), such as those of ``feature_prior``.  A sweep updates
-    all users, then all items; beliefs of a sweep are cached, so that plans don't grow.
+    all users, then all items; a sweep's beliefs are written tables, so that plans don't grow.
     """
     s = settings or Settings()
+    ratings = materialized(ratings.select("user", "item", "rating"))
     users = _start(ratings.select("user").distinct(), "user", s, user_prior)
-    items = _start(ratings.select("item").distinct(), "item", s, item_prior)
+    items = materialized(_start(ratings.select("item").distinct(), "item", s, item_prior))
     for _ in range(s.sweeps):
-        users = _update(ratings, users, items, "user", "item", s).persist()
-        items = _update(ratings, items, users, "item", "user", s).persist()
+        users = materialized(_update(ratings, users, items, "user", "item", s))
+        items = materialized(_update(ratings, items, users, "item", "user", s))
     return Model(users, items, s)
 
 

@@ -9,6 +9,7 @@ from .factor_queries import sql_cdf, sql_digamma
 from .functions import scalar
 from .learners import recommender as bilinear
 from .operators import estimators, metrics, models, relational, strings
+from .session import materialized
 from .workload import _RATINGS, _VOTES, _ratings, _votes, query, rounded, table
 
 # Discrete networks
@@ -117,10 +118,10 @@ def _event_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def topic_model(spark: SparkSession, d: str) -> DataFrame:
-    counts = _event_words(spark, d)
+    counts = materialized(_event_words(spark, d))
     belief = None
     for _ in range(3):
-        belief = models.topic_sweep(counts, "user", 3, belief)
+        belief = materialized(models.topic_sweep(counts, "user", 3, belief))
     return belief.select("user", "word", "n", F.transform("p", lambda x: F.round(x, 5)).alias("p"))
 
 

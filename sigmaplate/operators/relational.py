@@ -85,3 +85,27 @@ def cartesian(a: DataFrame, b: DataFrame) -> DataFrame:
 def indexed(data: DataFrame, key: str) -> DataFrame:
     """(key, index): a number from 0 for each distinct key, in its order."""
     return numbered(data.select(key).distinct(), [key], "index")
+
+
+def union_of(tables: list[DataFrame], distinct: bool = False) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.distinct() if distinct else out
+
+
+def folded(data: DataFrame, key: str, order: list[str], value: str, start: Column, step) -> DataFrame:
+    """(key, result): a fold over a key's values in an order; the list of a key must fit a task, as a fold is sequential."""
+    rows = data.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, value))).alias("rows"))
+    return rows.select(key, F.aggregate("rows", start, lambda s, r: step(s, r[value])).alias("result"))
+
+
+def all_reduced(data: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """Every row with the sums of its key: partial sums, one exchange, and a join back."""
+    totals = data.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return data.join(totals, keys) if keys else data.join(F.broadcast(totals))  # one row
+
+
+def scattered(data: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+    """Rows dealt over partitions by key."""
+    return data.repartition(partitions, *keys)

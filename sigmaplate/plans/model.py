@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 
 @dataclass
 class Variable:
@@ -38,8 +40,8 @@ class SumModel:
         """Posterior (plate, mean, variance) of each variable.
 
         Variables are updated in their order, each from the latest means of the others; one shuffle
-        of the data for each update.  A variable's belief is cached, as the next updates read it, so
-        that a plan doesn't grow with the sweeps before it.
+        of the data for each update.  A variable's belief is written as a table, as the next updates
+        read it, so that a plan doesn't grow with the sweeps before it.
         """
         beliefs = {
             v.name: data.select(v.plate).distinct().select(v.plate, F.lit(v.prior_mean).alias("mean"), F.lit(v.prior_variance).alias("variance"))
@@ -55,5 +57,6 @@ class SumModel:
                 s = rows.groupBy(v.plate).agg(F.count("*").alias("n"), F.sum(residual).alias("s"))
                 prec = F.lit(1 / v.prior_variance) + F.col("n") / self.noise_variance
                 mean = (F.lit(v.prior_mean / v.prior_variance) + F.col("s") / self.noise_variance) / prec
-                beliefs[v.name] = s.select(v.plate, mean.alias("mean"), (F.lit(1.0) / prec).alias("variance")).persist()
+                beliefs[v.name] = s.select(v.plate, mean.alias("mean"), (F.lit(1.0) / prec).alias("variance"))
+                beliefs[v.name] = materialized(beliefs[v.name])
         return beliefs

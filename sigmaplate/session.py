@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,21 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written as a table of the shared folder and read back: what reads it doesn't carry its plan, and a lost executor
+    costs a reread.
+
+    The folder is ``spark.checkpoint.dir``; where that is unset, local mode takes one of the
+    warehouse, and a cluster raises.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{root.rstrip('/')}/sigmaplate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
