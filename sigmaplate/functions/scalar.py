@@ -188,12 +188,14 @@ def normal_cdf_inverse(p: Column) -> Column:
 
         return bound(bound(x, step), step)
 
-    def value(p: Column) -> Column:
+    def below_half(p: Column) -> Column:
         q = p - 0.5
         root = F.sqrt(F.log(p) * -2.0)
-        start = F.when(p < 0.02425, _ratio(root, _TAIL)).otherwise(q * _ratio(q * q, _CENTRE))
+        start = F.when(p < 0.02425, bound(root, lambda r: _ratio(r, _TAIL))).otherwise(bound(q, lambda q: q * _ratio(q * q, _CENTRE)))
         return bound(start, lambda x: refined(p, x))
 
-    x = value(F.least(p, F.lit(1.0) - p))
-    x = F.when(p <= 0.5, x).otherwise(-x)
-    return F.when(p == 0, float("-inf")).when(p == 1, float("inf")).when((p > 0) & (p < 1), x)
+    def value(p: Column) -> Column:
+        x = bound(bound(F.least(p, F.lit(1.0) - p), below_half), lambda x: F.when(p <= 0.5, x).otherwise(-x))
+        return F.when(p == 0, float("-inf")).when(p == 1, float("inf")).when((p > 0) & (p < 1), x)
+
+    return bound(p, value)

@@ -10,17 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normal_cdf, normal_cdf_inverse
+from ..functions.scalar import bound, normal_cdf, normal_cdf_inverse
 
 _SPAN = 4294967296
 
 
 def uniform(key: Column, salt: int = 0) -> Column:
     """A number in 0..1, both excluded, for a whole-numbered key: three rounds of a multiplicative hash."""
-    h = F.pmod(key * 2654435761 + salt * 40503 + 1, F.lit(_SPAN))
-    for k in (15, 13):
-        h = F.pmod(h.bitwiseXOR(F.shiftrightunsigned(h, k)) * 1597334677, F.lit(_SPAN))
-    return (h + 0.5) / float(_SPAN)
+
+    def mix(h: Column, k: int) -> Column:
+        return F.pmod(h.bitwiseXOR(F.shiftrightunsigned(h, k)) * 1597334677, F.lit(_SPAN))
+
+    first = F.pmod(key * 2654435761 + salt * 40503 + 1, F.lit(_SPAN))
+    return bound(first, lambda h: bound(mix(h, 15), lambda h: (mix(h, 13) + 0.5) / float(_SPAN)))
 
 
 def uniform_between(key: Column, lo: Column, hi: Column, salt: int = 0) -> Column:
@@ -39,9 +41,13 @@ def normal(key: Column, mean: Column, variance: Column, salt: int = 0) -> Column
 
 def normal_between(key: Column, lo: Column, hi: Column, salt: int = 0) -> Column:
     """A standard normal between bounds, by inverting its distribution function in the nearer tail."""
+
+    def drawn_at(g: Column) -> Column:
+        return bound(g["low"] + (g["high"] - g["low"]) * uniform(key, salt), normal_cdf_inverse)
+
     flip = lo > 0
     a, b = F.when(flip, -hi).otherwise(lo), F.when(flip, -lo).otherwise(hi)
-    x = normal_cdf_inverse(normal_cdf(a) + (normal_cdf(b) - normal_cdf(a)) * uniform(key, salt))
+    x = bound(F.struct(normal_cdf(a).alias("low"), normal_cdf(b).alias("high")), drawn_at)
     return F.when(flip, -x).otherwise(x)
 
 
@@ -56,7 +62,8 @@ def exponential(key: Column, rate: Column, salt: int = 0) -> Column:
 def discrete(key: Column, p: Column, salt: int = 0) -> Column:
     """A place in an array of probabilities, from 0."""
     sums = F.aggregate(p, F.array().cast("array<double>"), lambda s, v: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + v)))
-    return F.least(F.size(F.filter(sums, lambda s: s <= uniform(key, salt))), F.size(p) - 1)
+    place = bound(uniform(key, salt), lambda u: F.size(F.filter(sums, lambda s: s <= u)))
+    return F.least(place, F.size(p) - 1)
 
 
 def shuffled(data: DataFrame, key: Column, salt: int = 0) -> DataFrame:

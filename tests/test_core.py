@@ -325,13 +325,15 @@ def test_search_and_factors(spark):
 def test_samplers_have_their_moments(spark):
     df = spark.range(20_000).select("id", F.lit(3.0).alias("a"), F.lit(2.0).alias("b"), F.array(*map(F.lit, (0.2, 0.5, 0.3))).alias("p"), F.lit(6).alias("n"), F.array(F.lit(1.0), F.lit(-1.0)).alias("m"), F.array(*map(F.lit, (2.0, 0.5, 0.5, 1.0))).alias("c"), F.lit(5.0).alias("dof"))
     k = F.col("id")
-    r = df.select(
-        F.avg(samplers.uniform(k)), F.var_pop(samplers.uniform(k)), F.avg(samplers.normal(k, F.lit(1.0), F.lit(4.0))), F.var_pop(samplers.normal(k, F.lit(1.0), F.lit(4.0))),
-        F.min(samplers.normal_greater_than(k, F.lit(2.0))), F.avg(samplers.normal_greater_than(k, F.lit(2.0))), F.avg(samplers.exponential(k, F.lit(4.0))), F.avg((samplers.discrete(k, F.col("p")) == 1).cast("double")),
-        F.avg(samplers.uniform_between(k, F.lit(2.0), F.lit(6.0))), F.corr(samplers.uniform(k, 1), samplers.uniform(k, 2)),
-    ).first()
+    each = df.select(
+        samplers.uniform(k).alias("u"), samplers.normal(k, F.lit(1.0), F.lit(4.0)).alias("n"), samplers.normal_greater_than(k, F.lit(2.0)).alias("g"), samplers.exponential(k, F.lit(4.0)).alias("e"),
+        samplers.discrete(k, F.col("p")).alias("d"), samplers.uniform_between(k, F.lit(2.0), F.lit(6.0)).alias("b"), samplers.uniform(k, 1).alias("u1"), samplers.uniform(k, 2).alias("u2"),
+    )
+    r = each.agg(
+        F.avg("u"), F.var_pop("u"), F.avg("n"), F.var_pop("n"), F.min("g"), F.avg("g"), F.avg("e"), F.avg((F.col("d") == 1).cast("double")), F.avg("b"), F.corr("u1", "u2")
+    ).first()
     assert list(r) == [pytest.approx(v, abs=t) for v, t in ((0.5, 0.01), (1 / 12, 0.003), (1, 0.05), (4, 0.15), (2, 0.01), (2.373, 0.02), (0.25, 0.01), (0.5, 0.02), (4, 0.04), (0, 0.03))]
-    small = df.limit(4000)
+    small = df.where("id < 4000")
     mean = lambda d, c="sample": d.agg(F.avg(c)).first()[0]
     assert mean(samplers.gamma(small, "id", "a", "b")) == pytest.approx(1.5, abs=0.06) and mean(samplers.beta(small, "id", "a", "b")) == pytest.approx(0.6, abs=0.02)
     assert mean(samplers.poisson(small, "id", "a")) == pytest.approx(3, abs=0.12) and mean(samplers.binomial(small.withColumn("q", F.lit(0.3)), "id", "n", "q")) == pytest.approx(1.8, abs=0.08)
@@ -400,17 +402,48 @@ def test_commands(spark, tmp_path):
         run("recommender", f"evaluate-find-related-{side}", "--data", p("r.txt"), "--predictions", p(side), "--report", p(f"rep-{side}"), "--top", 2)
         assert 0 < float(spark.read.option("header", True).csv(p(f"rep-{side}")).first().ndcg) <= 1
     rng = np.random.default_rng(6)
+    assert {path[-1] for path in cli.COMMANDS if path[:2] == ("classifier", "multiclass")} == {path[-1] for path in cli.COMMANDS if path[:2] == ("classifier", "binary")}
     rows = [f"{'yes' if a + 0.3 * rng.normal() > 0 else 'no'} a:{a:.3f} b:{b:.3f}" for a, b in rng.normal(size=(200, 2))]
     (tmp_path / "c.txt").write_text("\n".join(rows))
     for kind in ("binary", "multiclass"):
-        run("classifier", kind, "train", "--data", p("c.txt"), "--model", p(kind))
-        run("classifier", kind, "train-incremental", "--data", p("c.txt"), "--input-model", p(kind), "--model", p(kind + "2"))
+        run("classifier", kind, "train", "--data", p("c.txt"), "--model", p(kind), "--sweeps", 4)
         run("classifier", kind, "predict", "--data", p("c.txt"), "--model", p(kind), "--predictions", p(kind + "p"))
-        run("classifier", kind, "sample-weights", "--model", p(kind), "--samples", p(kind + "s"), "--count", 4)
-        run("classifier", kind, "diagnose-train", "--data", p("c.txt"), "--report", p(kind + "d"))
-        run("classifier", kind, "cross-validate", "--data", p("c.txt"), "--report", p(kind + "x"), "--folds", 3, "--sweeps", 5)
-        assert all(float(r.accuracy) > 0.8 for r in spark.read.option("header", True).csv(p(kind + "x")).collect())
+    run("classifier", "binary", "train-incremental", "--data", p("c.txt"), "--input-model", p("binary"), "--model", p("again"), "--sweeps", 2)
+    run("classifier", "binary", "sample-weights", "--model", p("binary"), "--samples", p("drawn"), "--count", 4)
+    run("classifier", "binary", "diagnose-train", "--data", p("c.txt"), "--report", p("trace"), "--sweeps", 2)
+    run("classifier", "binary", "cross-validate", "--data", p("c.txt"), "--report", p("folds"), "--folds", 2, "--sweeps", 2)
+    assert all(float(r.accuracy) > 0.8 for r in spark.read.option("header", True).csv(p("folds")).collect())
     run("classifier", "evaluate", "--data", p("c.txt"), "--predictions", p("multiclassp"), "--report", p("rep3"))
     report = {r.label: r for r in spark.read.option("header", True).csv(p("rep3")).collect()}
     assert set(report) == {"yes", "no"} and float(report["yes"].auc) > 0.9 and float(report["no"].f1) > 0.8
     assert persistence.load_classifier(spark, p("binary"))["yes"].features == ["x_a", "x_b"]
+
+
+def test_topic_sweep_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    n = rng.integers(0, 4, (5, 6))
+    rows = [(d, f"w{w}", int(n[d, w])) for d in range(5) for w in range(6) if n[d, w]]
+    counts = spark.createDataFrame(rows, "d long, word string, n long")
+    start = rng.dirichlet([1, 1, 1], len(rows))
+    belief = spark.createDataFrame([(*r, p.tolist()) for r, p in zip(rows, start)], "d long, word string, n long, p array<double>")
+    got = {(r.d, r.word): r.p for r in models.topic_sweep(counts, "d", 3, belief).collect()}
+    by_row, by_word = np.full((5, 3), 0.1), np.full((6, 3), 0.01)
+    for (d, w, k), p in zip(rows, start):
+        by_row[d] += k * p
+        by_word[int(w[1:])] += k * p
+    psi = lambda x: math.log(x + 60) - 1 / (2 * (x + 60)) - 1 / (12 * (x + 60) ** 2) - sum(1 / (x + k) for k in range(60))
+    seen = sorted({int(w[1:]) for _, w, _ in rows})
+    totals = by_word[seen].sum(0)
+    for d, w, _ in rows:
+        s = np.array([psi(by_row[d][k]) + psi(by_word[int(w[1:])][k]) - psi(totals[k]) for k in range(3)])
+        s = np.exp(s - s.max())
+        assert got[d, w] == pytest.approx((s / s.sum()).tolist(), rel=1e-6)
+    assert all(sum(p) == pytest.approx(1) for p in (r.p for r in models.topic_sweep(counts, "d", 3).collect()))
+
+
+def test_principal_directions(spark):
+    a = np.diag([5.0, 2.0, 1.0]) + 0.1
+    rows = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(3) for j in range(3)], "i int, j int, v double")
+    first = models.principal_directions(rows, 2)[0]
+    values, vectors = np.linalg.eigh(a)
+    assert np.abs(vectors[:, -1]) == pytest.approx(np.abs(first), abs=1e-8) and values[-1] > 5
