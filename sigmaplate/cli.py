@@ -143,7 +143,7 @@ def _names(models: dict) -> list[str]:
 def _train(spark, args, binary: bool, prior: dict | None = None) -> dict:
     data, names = _labelled(spark, args.data, None if prior is None else _names(prior))
     labels = sorted(r[0] for r in data.select("label").distinct().collect()) if prior is None else list(prior)
-    if binary and len(labels) != 2:
+    if binary and prior is None and len(labels) != 2:
         raise ValueError(f"a binary classifier needs 2 labels, not {labels}")
     wanted = labels[1:] if binary and prior is None else labels
     return classifier.train_multiclass(data, names, "label", wanted, args.sweeps, prior)

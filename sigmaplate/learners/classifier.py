@@ -163,12 +163,20 @@ def sample_weights(weights: Weights, n: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).multivariate_normal(weights.mean, weights.covariance, n)
 
 
+def _rank(data: DataFrame, column: str) -> Column:
+    """A number that grows with the column; of a text its first 7 bytes, so that texts that share them share a range."""
+    if dict(data.dtypes)[column] != "string":
+        return F.col(column)
+    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def numbered(data: DataFrame, order: list[str], number: str = "number", ranges: int = 256) -> DataFrame:
     """data with row numbers from 0 in an order (the last column tells rows apart): ranks within value ranges of the first column, offset by the ranges' counts."""
-    first = order[0]
-    bounds = data.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 1000).alias("_bounds"))
-    at = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(first))), F.lit(-1))
-    each = data.join(F.broadcast(bounds)).withColumn("_range", F.when(F.col(first).isNull(), -1).otherwise(at)).drop("_bounds")  # one row
+    rank = _rank(data, order[0])
+    bounds = data.agg(F.percentile_approx(rank, [k / ranges for k in range(1, ranges)], 1000).alias("_bounds"))
+    ranked = data.withColumn("_rank", rank)
+    at = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_rank"))), F.lit(-1))
+    each = ranked.join(F.broadcast(bounds)).withColumn("_range", F.when(F.col("_rank").isNull(), -1).otherwise(at)).drop("_bounds", "_rank")  # one row
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = each.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1

@@ -49,7 +49,7 @@ class Model:
 def _start(keys: DataFrame, name: str, s: Settings, prior: DataFrame | None) -> DataFrame:
     """Prior beliefs; trait means start at small hashed values, as all zero is a saddle point."""
     number = F.col(name) if dict(keys.dtypes)[name] in ("int", "bigint") else F.crc32(F.col(name).cast("string"))
-    place = lambda k: (F.pmod(number * 2654435761 + k * 40503, F.lit(1000)) / 1000.0 - 0.5) * 0.2
+    place = lambda k: (F.pmod(F.pmod(number, F.lit(1 << 31)) * 2654435761 + k * 40503, F.lit(1000)) / 1000.0 - 0.5) * 0.2
     start = F.array(*[place(k + 1) for k in range(s.traits)])
     zero = F.array(*[F.lit(0.0)] * s.traits)
     table = keys.select(name, F.lit(0.0).alias("bias"), F.lit(s.bias_variance).alias("bias_variance"), start.alias("traits"), F.array(*[F.lit(s.trait_variance)] * s.traits).alias("traits_variance"))

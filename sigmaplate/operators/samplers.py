@@ -21,7 +21,8 @@ def uniform(key: Column, salt: int = 0) -> Column:
     def mix(h: Column, k: int) -> Column:
         return F.pmod(h.bitwiseXOR(F.shiftrightunsigned(h, k)) * 1597334677, F.lit(_SPAN))
 
-    first = F.pmod(key * 2654435761 + salt * 40503 + 1, F.lit(_SPAN))
+    low, high = F.pmod(key, F.lit(1 << 31)), F.pmod(F.shiftright(key.cast("long"), 31), F.lit(1 << 31))
+    first = F.pmod(low * 2654435761 + high * 40503 + salt * 40503 + 1, F.lit(_SPAN))
     return bound(first, lambda h: bound(mix(h, 15), lambda h: (mix(h, 13) + 0.5) / float(_SPAN)))
 
 
