@@ -234,17 +234,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     own = materialize(fingerprints(docs), "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    linked = _roots(first.select("fp"), radius).join(first.select("fp", "first"), "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "root").select("fp", "least")
+    linked = materialize(_roots(first.select("fp"), radius).join(first.select("fp", "first"), "fp"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "least")
+    linked = _named(linked, least, "root").select("fp", "least")
     named = first.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
     named = materialize(named, "components")
-    # Fingerprints of more than 1 in _HOT rows, fewer than _HOT of them, go to the rows instead of gathering those.
-    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _named(own, named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(members: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """members joined to names by key; names has each key once and n, its number of members, and is read several times.
+
+    Keys of more than 1 in _HOT members, fewer than _HOT of them, go to the members instead of gathering those.
+    """
+    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     is_hot = F.col("n") * _HOT > F.lit(total)
-    hot = F.broadcast(named.where(is_hot).select("fp", "component_id"))
-    rest = own.join(hot.select("fp"), "fp", "left_anti").join(named.where(~is_hot).select("fp", "component_id"), "fp")
-    return own.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    hot = F.broadcast(names.where(is_hot).drop("n"))
+    rest = members.join(hot.select(key), key, "left_anti").join(names.where(~is_hot).drop("n"), key)
+    return members.join(hot, key).unionByName(rest)
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
