@@ -38,10 +38,10 @@ def gamma_ln(x: Column) -> Column:
     for k in range(8):
         product = product * (x + float(k))
     z = x + 8.0
-    series = F.lit(0.0)
-    for k, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66), 1):  # Bernoulli numbers B2..B10
-        series = series + F.lit(b / (2 * k * (2 * k - 1))) / F.pow(z, F.lit(2.0 * k - 1))
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    w, series = F.lit(1.0) / (z * z), F.lit(0.0)
+    for k, b in zip((5, 4, 3, 2, 1), (5 / 66, -1 / 30, 1 / 42, -1 / 30, 1 / 6), strict=True):  # Bernoulli numbers B10..B2
+        series = series * w + b / (2 * k * (2 * k - 1))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series / z - F.log(product)
 
 
 def digamma(x: Column) -> Column:
@@ -50,9 +50,9 @@ def digamma(x: Column) -> Column:
     for k in range(8):
         shifted = shifted + F.lit(1.0) / (x + float(k))
     z = x + 8.0
-    series = F.lit(0.0)
-    for k, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66), 1):
-        series = series + F.lit(b / (2 * k)) / F.pow(z, F.lit(2.0 * k))
+    w, series = F.lit(1.0) / (z * z), F.lit(0.0)
+    for k, b in zip((5, 4, 3, 2, 1), (5 / 66, -1 / 30, 1 / 42, -1 / 30, 1 / 6), strict=True):
+        series = (series + b / (2 * k)) * w
     return F.log(z) - F.lit(0.5) / z - series - shifted
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmaplate import factor_queries, math_queries, model_queries, workload  # noqa: F401
+from sigmaplate import factor_queries, math_queries, model_queries, variable_queries, workload  # noqa: F401
 from sigmaplate.functions import scalar
 from sigmaplate.learners import classifier, mixture
 from sigmaplate.operators import linear_algebra, messages, metrics, recommender
