@@ -642,10 +642,11 @@ def character_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH m AS (SELECT label, vec_id, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
-SELECT a.label, a.i, b.i AS j, round(covar_pop(a.v, b.v), 6) AS covariance FROM m a JOIN m b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3
+SELECT a.label, a.i, b.i AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS covariance FROM m a JOIN m b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3
 """)
 def vector_covariance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(linear_algebra.covariances(table(spark, d, "embeddings"), "label", "embedding"))
+    c = linear_algebra.covariances(table(spark, d, "embeddings"), "label", "embedding")
+    return c.withColumn("covariance", F.round("covariance", 6) + 0.0)  # no negative zero
 
 
 @query("""
