@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import digamma, gamma_ln, normal_cdf
-from ..functions.special import softmax
+from ..functions.scalar import digamma, gamma_ln, log_sum_exp_over, normal_cdf
+from ..functions.special import log_sum_exp, softmax
 
 
 def states(spark: SparkSession, variables: list[str]) -> DataFrame:
@@ -173,20 +173,28 @@ def faster(a: Column, va: Column, b: Column, vb: Column) -> Column:
 
 
 def motif_positions(data: DataFrame, row: str, text: str, motif: list[dict[str, float]], background: float) -> DataFrame:
-    """(row, position, p): where a motif, probabilities of characters by place, lies in a string; every place is as likely before."""
+    """(row, position, p): where a motif, probabilities of characters by place, lies in a string; every place is as likely before.
+
+    Strings are dealt by ``row`` and scored as arrays; the places of rows that share a ``row``, null too, add up to 1.
+    """
     n = len(motif)
-    score = F.lit(0.0)
-    for k, of in enumerate(motif):
-        at = F.substring(F.col("t"), F.col("position") + 1 + k, F.lit(1))
-        p = F.lit(of.get("", 1e-3))
-        for ch, w in of.items():
-            if ch:
-                p = F.when(at == ch, w).otherwise(p)
-        score = score + F.log(p / background)
-    each = data.where(F.length(text) >= n).select(row, F.col(text).alias("t"), F.explode(F.sequence(F.lit(0), F.length(text) - n)).alias("position"))
-    each = each.select(row, "position", score.alias("s"))
-    totals = each.groupBy(row).agg(F.max("s").alias("top"), F.log(F.sum(F.exp("s"))).alias("z"))
-    return each.join(totals, row).select(row, "position", F.exp(F.col("s") - F.col("z")).alias("p"))
+    gain = lambda p: F.lit(math.log(p / background) if p else float("-inf"))
+
+    def score(position: Column) -> Column:
+        s = F.lit(0.0)
+        for k, of in enumerate(motif):
+            at = F.substring(F.col("t"), position + 1 + k, F.lit(1))
+            g = gain(of.get("", 1e-3))
+            for ch, w in of.items():
+                if ch:
+                    g = F.when(at == ch, gain(w)).otherwise(g)
+            s = s + g
+        return s
+
+    each = data.where(F.length(text) >= n).select(row, F.col(text).alias("t")).repartition(row)
+    each = each.select(row, F.transform(F.sequence(F.lit(0), F.length("t") - n), score).alias("scores"))
+    each = each.withColumn("z", log_sum_exp_over(log_sum_exp(F.col("scores")), Window.partitionBy(row)))
+    return each.select(row, F.posexplode("scores").alias("position", "s"), "z").select(row, "position", F.exp(F.col("s") - F.col("z")).alias("p"))
 
 
 def skill_round(games: DataFrame, skills: DataFrame, noise: float) -> DataFrame:

@@ -447,3 +447,18 @@ def test_principal_directions(spark):
     first = models.principal_directions(rows, 2)[0]
     values, vectors = np.linalg.eigh(a)
     assert np.abs(vectors[:, -1]) == pytest.approx(np.abs(first), abs=1e-8) and values[-1] > 5
+
+
+def test_motif_places_of_shared_and_null_rows_add_up(spark):
+    texts = [(1, "Stebolt"), (1, "xPao"), (None, "Ste"), (2, "St"), (3, None), (4, "größe😀Ste")]
+    df = spark.createDataFrame(texts, "k long, t string").repartition(3)
+    motif = [{"S": 0.6, "P": 0.2}, {"t": 0.3, "a": 0.3, "r": 0.2}, {"e": 0.5, "o": 0.2, "😀": 0.0}]
+    found = models.motif_positions(df, "k", "t", motif, 0.02)
+    weights = {}
+    for k, t in texts:
+        for i in range(len(t or "") - 2):
+            weights.setdefault(k, []).append((i, np.prod([of.get(t[i + j], 1e-3) / 0.02 for j, of in enumerate(motif)])))
+    want = sorted((k or 0, i, round(w / sum(w for _, w in all_), 9)) for k, all_ in weights.items() for i, w in all_)
+    assert sorted((r.k or 0, r.position, round(r.p, 9)) for r in found.collect()) == want
+    # Nothing is joined, so no table of all rows can be broadcast through the driver.
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
