@@ -34,7 +34,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The cache is smaller than alone, as workers keep what the earlier stages left in them.
     """
-    return token_output.encode_and_read(docs, tokenizer_path(), cache=400_000, by_file=True)
+    return token_output.encode_and_read(docs, tokenizer_path(), cache=100_000, by_file=True)
 
 
 STAGES = [

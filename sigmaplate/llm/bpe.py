@@ -224,3 +224,8 @@ def encoder(path: str, cache: int = CACHE) -> ByteBpe:
     if (path, cache) not in _loaded:
         _loaded[path, cache] = ByteBpe(path, cache)
     return _loaded[path, cache]
+
+
+def drop_encoders() -> None:
+    """Forget the process's encoders and their caches."""
+    _loaded.clear()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +93,13 @@ def record_batches(source: Iterator[tuple], schema: pa.Schema, at_once: int = 40
         yield flush()
 
 
+def release() -> None:
+    """Give back to the system what this process's allocators hold but don't use: Python workers live on over many tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for a document whose crc32 of the id as text is 2 modulo 4; false for a null id."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, tokenfile
-from .common import record_batches, rows, shared_dir
+from .common import record_batches, release, rows, shared_dir
 
 SHARD_SCHEMA = "part int, file string, shard long, first_doc long, last_doc long, n_docs long, n_tokens long, payload binary"
 _SHARDS = pa.schema(
@@ -59,8 +59,11 @@ def _shards(tokenizer: str, end_id: int, shard_tokens: int, cache: int, by_file:
             if total >= shard_tokens:
                 yield flush()
                 names, sizes, held, total, shard = [], [], [], 0, after if by_file else shard + 1
+                release()
         if names:
             yield flush()
+        names, sizes, held = [], [], []
+        release()
 
     return run
 
@@ -105,12 +108,15 @@ def write_shards(
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe.drop_encoders()  # all shards are written
+
     def decoded() -> Iterator[tuple]:
         for part, file, shard, payload in rows(batches, "part", "file", "shard", "payload", at_once=1):
             for doc_id, start, ids in tokenfile.decode(payload).documents():
                 yield part, file, shard, doc_id, start, len(ids), zlib.crc32(ids.tobytes())
 
     yield from record_batches(decoded(), _DOCS)
+    release()
 
 
 def read_shards(table: DataFrame) -> DataFrame:

@@ -689,3 +689,8 @@ def test_lm_score_counts_every_word_and_pair(spark, monkeypatch, most):
                 base = (one[m, x] - own_one[x] + 1) / (total[m] - mine * len(w) + vocabulary)
                 loss[m] -= math.log((min(pair, context) + lm_score.MU * base) / (context + lm_score.MU)) / len(w)
         assert (got[k].target_loss, got[k].background_loss) == (pytest.approx(loss[0], rel=1e-9), pytest.approx(loss[1], rel=1e-9))
+
+
+def test_readers_of_shards_keep_no_encoder():
+    bpe.encoder(TOKENIZER).many(["some words to keep"])
+    assert bpe._loaded and list(token_output._documents(iter([]))) == [] and not bpe._loaded
