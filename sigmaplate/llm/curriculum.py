@@ -213,6 +213,29 @@ def schedule(
     return mix.dealt(mix.narrow if keep == ("doc_id",) else _keyed(docs, keep, seed))
 
 
+def ordered(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = MAX_EPOCHS, ramp: float = 0.5, seed: int = 8) -> DataFrame:
+    """schedule's rows by doc_id, with the copies read back from the mix: sorted by position in ranges, numbered over all.
+
+    Returns row, size, source_size, target, copies, positions and places, the numbers of the row's
+    copies in training order, from 0.  Rows without copies have none.  The copies carry no texts.
+    """
+    mix = _Mix(docs, weights, cap, ramp, seed)
+    plan = materialize(mix.dealt(mix.narrow.withColumn("row", F.struct("row.doc_id", "source", "h", "v"))), "plan")
+    copies = plan.select("row", F.explode("positions").alias("position")).repartitionByRange("position")
+    sorted_copies = materialize(copies.sortWithinPartitions("position", "row.doc_id", "row.v").withColumn("part", F.spark_partition_id()), "copies")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sorted_copies.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("position", "row.doc_id", "row.v")) - 1
+    numbered = sorted_copies.withColumn("inside", inside).join(F.broadcast(starts), "part").withColumn("place", F.col("first") + F.col("inside"))
+    back = numbered.groupBy("row.v").agg(F.count("*").cast("int").alias("copies"), F.array_sort(F.collect_list("position")).alias("positions"), F.array_sort(F.collect_list("place")).alias("places"))
+    rows = plan.drop("copies", "positions").withColumn("v", F.col("row.v")).join(back, "v", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return rows.select(
+        F.struct("row.doc_id").alias("row"), "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"),
+        none("positions", "double"), none("places", "long"),
+    )
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = MAX_EPOCHS, ramp: float = 0.5, seed: int = 8) -> DataFrame:
     """docs' rows and columns in training order: each as often as the mix takes it, sorted by position.
 

@@ -63,10 +63,10 @@ def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = curriculum.schedule(table(spark, sf_dir, "documents"))
+    plan = curriculum.ordered(table(spark, sf_dir, "documents"))
     return plan.select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
-        (F.col("size") * F.col("copies")).alias("taken"), "positions",
+        (F.col("size") * F.col("copies")).alias("taken"), "positions", "places",
     )
 
 

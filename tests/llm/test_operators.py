@@ -694,3 +694,12 @@ def test_lm_score_counts_every_word_and_pair(spark, monkeypatch, most):
 def test_readers_of_shards_keep_no_encoder():
     bpe.encoder(TOKENIZER).many(["some words to keep"])
     assert bpe._loaded and list(token_output._documents(iter([]))) == [] and not bpe._loaded
+
+
+def test_mix_query_orders_its_copies(spark, small):
+    found = queries.op8_curriculum_mix(spark, small).collect()
+    plan = {r.row.doc_id: r for r in curriculum.schedule(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert len(found) == len(plan) and all((r.taken, r.positions) == (r.size * plan[r.doc_id].copies, plan[r.doc_id].positions) for r in found)
+    order = sorted((p, r.doc_id) for r in found for p in r.positions)
+    assert [d for _, d in sorted((at, r.doc_id) for r in found for at in r.places)] == [d for _, d in order]
+    assert sorted(at for r in found for at in r.places) == list(range(len(order)))
