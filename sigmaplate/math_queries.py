@@ -42,9 +42,9 @@ def normal_functions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", ((F.col("value") - 50.0) / 90.7).alias("x"), ((F.col("event_id") % 13) / 4.1 - 1.5).alias("y"))
     x, y = F.col("x"), F.col("y")
     return e.select(
-        "event_id", F.round(special.normal_cdf_ln(x), 6).alias("log_cdf"), F.round(special.normal_cdf_logit(x), 5).alias("logit"), F.round(special.normal_cdf_ratio(x), 5).alias("ratio"),
-        F.round(special.normal_cdf_ratio_ln(x), 6).alias("log_ratio"), F.round(special.normal_cdf_diff(x, y), 6).alias("diff"),
-        F.round(special.normal_cdf_moment_ratio(2, x), 4).alias("second_moment"), F.round(numerics.extended_log(special.normal_cdf_extended(x)), 6).alias("extended"),
+        "event_id", scalar.signed_round(special.normal_cdf_ln(x), 6).alias("log_cdf"), scalar.signed_round(special.normal_cdf_logit(x), 5).alias("logit"), F.round(special.nearest_normal_cdf_ratio(x), 5).alias("ratio"),
+        scalar.signed_round(special.normal_cdf_ratio_ln(x), 6).alias("log_ratio"), scalar.signed_round(special.normal_cdf_diff(x, y), 6).alias("diff"),
+        F.round(special.normal_cdf_moment_ratio(2, x), 4).alias("second_moment"), scalar.signed_round(numerics.extended_log(special.normal_cdf_extended(x)), 6).alias("extended"),
     )
 
 

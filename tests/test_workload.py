@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables; the others against plain Python."""
 
 import math
+from decimal import Decimal, localcontext
 
 import duckdb
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmaplate import factor_queries, math_queries, model_queries, variable_queries, workload  # noqa: F401
-from sigmaplate.functions import scalar
+from sigmaplate.functions import scalar, special
 from sigmaplate.learners import classifier, mixture
 from sigmaplate.operators import linear_algebra, messages, metrics, recommender
 from sigmaplate.sources import formats
@@ -50,6 +51,42 @@ def test_special_functions(spark):
         assert r.s == pytest.approx(max(r.x * 200, 0) + math.log1p(math.exp(-abs(r.x * 200))))
 
 
+def test_normal_functions_of_large_values(spark, tmp_path):
+    """Figures of many digits against 60-digit decimals, and zeros of the sign that SQL gives them."""
+    values = [455.0, 493.7, 520.16, 540.5, 560.21, 588.88, 600.0, 650.0, 700.0, 750.0, 780.0, 850.0, 3300.0]
+    rows = [(k * 13, v) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r for r in workload.QUERIES["normal_functions"](spark, str(tmp_path)).collect()}
+    df = spark.createDataFrame([((v - 50.0) / 90.7,) for v in values], "x double")
+    nearest = df.select(special.nearest_normal_cdf_ratio(F.col("x")), special.normal_cdf_moment_ratio(2, F.col("x")), special.normal_cdf_moment_ratio(3, F.col("x"))).collect()
+    with localcontext() as context:
+        context.prec = 60
+        for (key, value), pair in zip(rows, nearest, strict=True):
+            x = Decimal((value - 50.0) / 90.7)
+            total, term, n = Decimal(0), x, 0
+            while term > total * Decimal(10) ** -50:
+                total, n = total + term, n + 1
+                term *= x * x / (2 * n + 1)
+            ratio = (x * x / 2).exp() * Decimal("2.50662827463100050241576528481104525300698674060993831663") / 2 + total
+            second = (x * (x * ratio + 1) + ratio) / 2
+            third = (x * second + (x * ratio + 1)) / 3
+            assert list(pair) == [float(ratio), float(second), float(third)], value
+            r = got[key]
+            assert (r.ratio, r.second_moment) == (round(float(ratio), 5), round(float(second), 4)), value
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for key, _, *want in con.execute(f"SELECT event_id, value, log_cdf, extended FROM ({workload.SQL['normal_functions']}) JOIN events USING (event_id) WHERE value < 700").fetchall():
+        zeros = [got[key].log_cdf, got[key].extended]
+        assert zeros == want and [math.copysign(1, v) for v in zeros] == [math.copysign(1, v) for v in want] == [-1, -1]
+
+
+def test_signed_round(spark):
+    df = spark.createDataFrame([(v,) for v in (-3e-7, 3e-7, 0.0, -1.2345675, 1.2345675, float("-inf"), float("nan"), None)], "v double")
+    got = [r[0] for r in df.select(scalar.signed_round(F.col("v"), 6)).collect()]
+    assert got[:6] == [0.0, 0.0, 0.0, -1.234568, 1.234568, float("-inf")] and math.isnan(got[6]) and got[7] is None
+    assert [math.copysign(1, v) for v in got[:3]] == [-1, 1, 1]
+
+
 def test_chain_equals_enumeration(spark):
     like, t, prior = [[0.9, 0.2], [0.1, 0.7], [0.5, 0.4]], [[0.7, 0.3], [0.4, 0.6]], [0.5, 0.5]
     df = spark.createDataFrame([(1, k, *v) for k, v in enumerate(like)], "s int, k int, a double, b double")
